@@ -1,0 +1,11 @@
+"""The queries of this library by name, with the SQL that gives the same rows where SQL can express them."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
