@@ -15,8 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-BLOCK_BYTES = 12 << 20
-_STEP = 1 << 22
+BLOCK_BYTES = 6 << 20
+_STEP = 1 << 20
 _BASE_BYTES, _BASE_WORDS = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import decontamination, substring_dedup
 
 MODULES = {
+    "op2_decontamination": decontamination,
     "op5_substring_dedup": substring_dedup,
 }
 
