@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, substring_dedup
+from . import decontamination, packing, sharding, substring_dedup
 
 MODULES = {
     "op2_decontamination": decontamination,
+    "op9_sharding": sharding,
+    "op10_packing": packing,
     "op5_substring_dedup": substring_dedup,
 }
 
