@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrays import U64
+from .arrays import U64, mix
 from .shared import partitions
 
 #: Bytes of a hash that travel; its upper bits choose the partition.
@@ -90,7 +90,7 @@ class Entries:
             if i == 0 and len(x):
                 sums = np.cumsum(x)
                 first = np.cumsum(counts.astype(np.int64)) - counts
-                x = sums - np.repeat(sums[first] - x[first], counts)
+                x = (sums - np.repeat(sums[first] - x[first], counts)) & 0xFFFFFFFF  # steps down wrap around
             self.numbers[c] = x
         #: the row, that is the block of texts, that an entry came in
         self.row = np.repeat(np.arange(len(rows)), [len(r[3]) // HASH_BYTES for r in rows]) if hashes and rows else None
@@ -113,6 +113,16 @@ def dealt(packed: DataFrame) -> DataFrame:
     return packed.repartitionById(n, packed["bucket"])
 
 
+def replies(n: int, ids: np.ndarray, tags: np.ndarray, numbers: dict[str, np.ndarray], no_hashes: int = 1) -> Iterator[pa.RecordBatch]:
+    """Entries without a hash (kind 1), dealt by their text: what is said of one text meets in one partition."""
+    order = np.lexsort((next(iter(numbers.values())), tags, ids))
+    i, t = ids[order], tags[order]
+    new = np.concatenate([[True], (i[1:] != i[:-1]) | (t[1:] != t[:-1])]) if len(i) else np.empty(0, bool)
+    text = np.cumsum(new) - 1
+    bucket = bucket_of(mix(i.view(U64) ^ t.astype(U64)), n)
+    yield from pack(1, bucket, text, i[new], t[new], [], {c: x[order] for c, x in numbers.items()}, no_hashes)
+
+
 def by_text(ids: np.ndarray, tags: np.ndarray, values: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     """Rows (doc_id, tag, one binary of 32-bit numbers per value), one for each text."""
     order = np.lexsort((values[0], tags, ids))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +36,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 class IdFilter:
-    """A bitmap over hashed ids of a fixed number of bits, so its size is bounded whatever the data.
+    """A bitmap over hashed ids of a fixed number of bits, so the size of what is broadcast is bounded whatever the data.
 
     It has no false negatives: ids outside it are surely absent from the table it was made of. It only lets rows skip
     a shuffle; where the ids outgrow it, more rows take the shuffle and results stay the same.
@@ -46,28 +45,17 @@ class IdFilter:
     BITS = 26
 
     def __init__(self, table: DataFrame, column: str):
-        pos = F.shiftrightunsigned(F.xxhash64(F.col(column)), 64 - self.BITS)
-        found = (
-            table.select((pos + 1).alias("p"))
-            .groupBy(F.expr("bitmap_bucket_number(p)").alias("b"))
-            .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
-        )
-        rows = {r["b"]: bytes(r["bits"]) for r in found.collect()}  # at most 2**BITS bits in all
-        self.slices = table.sparkSession.sparkContext.broadcast(rows)
+        found = table.select((self._position(column) + 1).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("_bucket"))
+        self.rows = found.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("_bits"))
 
     @classmethod
-    def position(cls, column: str):
-        """The Column that may_hold() takes."""
-        return F.shiftrightunsigned(F.xxhash64(F.col(column)), 64 - cls.BITS)
-
-    @staticmethod
-    def may_hold(slices: dict[int, bytes], positions: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(positions), bool)
-        # the table's positions are counted from 1: bucket n holds positions (n-1)*32768 + 0..32767
-        bucket, bit = positions // 32768 + 1, positions % 32768
-        for b in np.unique(bucket):
-            if (own := slices.get(int(b))) is not None:
-                at = bucket == b
-                x = np.frombuffer(own, np.uint8)
-                out[at] = (x[bit[at] >> 3] >> (bit[at] & 7)) & 1 == 1
-        return out
+    def _position(cls, column: str):
+        return F.shiftrightunsigned(F.xxhash64(F.col(column).cast("long")), 64 - cls.BITS)
+
+    def mark(self, df: DataFrame, column: str, name: str) -> DataFrame:
+        """df with a boolean column: False where the id is surely not in the table. Null ids are not."""
+        at = self._position(column)
+        df = df.withColumn("_bucket", F.floor(at / 32768) + 1).withColumn("_bit", at % 32768).join(F.broadcast(self.rows), "_bucket", "left")
+        byte = F.expr("cast(conv(hex(substring(_bits, cast(1 + _bit div 8 AS int), 1)), 16, 10) AS int)")
+        held = F.bit_get(byte, (F.col("_bit") % 8).cast("int")) == 1
+        return df.withColumn(name, F.coalesce(held, F.lit(False)) & F.col(column).isNotNull()).drop("_bucket", "_bit", "_bits")

@@ -60,58 +60,51 @@ def _hashed(width: int, n: int):
     return run
 
 
-def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    e, known = packed.unpack(batches, 1, ["p"])
-    h, owner = e.hashes[0], e.ids[e.text]
-    late = owner > first_owner(np.argsort(h), h, owner)
-    ids = np.concatenate([owner[late], known.ids[known.text]])
-    if len(ids):
+def _counted(n: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e, known = packed.unpack(batches, 1, ["p"])
+        h, owner = e.hashes[0], e.ids[e.text]
+        late = owner > first_owner(np.argsort(h), h, owner)
+        ids = np.concatenate([owner[late], known.ids[known.text]])
         tags = np.concatenate([e.tags[e.text[late]], known.tags[known.text]])
-        yield packed.by_text(ids, tags, [np.concatenate([e.numbers["p"][late], known.numbers["p"]])], ["pos"])
+        yield from packed.replies(n, ids, tags, {"p": np.concatenate([e.numbers["p"][late], known.numbers["p"]])})
+
+    return run
+
+
+def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _, e = packed.unpack(batches, 1, ["p"])
+    if len(e.text):
+        yield packed.by_text(e.ids[e.text], e.tags[e.text], [e.numbers["p"]], ["pos"])
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """Rows (doc_id, tag, pos): starts of repeated windows as 32-bit numbers; a document can have several rows. tag: the text's CRC-32."""
+    """Rows (doc_id, tag, pos): starts of a document's repeated windows as 32-bit numbers. tag: the text's CRC-32."""
     n = partitions(docs.sparkSession)
     hashed = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(_hashed(width, n), packed.schema(["p"], 1))
-    return packed.dealt(hashed).mapInArrow(_counted, "doc_id long, tag long, pos binary")
-
+    late = packed.dealt(hashed).mapInArrow(_counted(n), packed.schema(["p"], 1))
+    return packed.dealt(late).mapInArrow(_gathered, "doc_id long, tag long, pos binary")
 
-def _finish(width: int, columns: list[str], id_filter=None, held: bool = False):
-    """Splits by the filter (held: rows that may have repeated windows go on with their tag; else the others are finished), or finishes joined rows."""
 
+def _finish(width: int, columns: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "_text"):
             rows = block.rows
-            if id_filter is not None:
-                at, known = block.ints("_at")
-                at = IdFilter.may_hold(id_filter.value, at) & known & (np.asarray(rows.column("_id").is_valid()))
-                if held:
-                    tags = pa.array(block.tags().astype(np.int64), pa.int64())
-                    yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in [*columns, "_id", "_text"]), tags], [*columns, "_id", "_text", "_tag"]).filter(pa.array(at))
-                    continue
-                pick = np.flatnonzero(~at)
-                found = [None] * len(pick)
-            else:
-                pick = np.arange(len(block))
-                found = rows.column("_pos").to_pylist()
             n_words, n_removed, kept = [], [], []
-            for i, pos in zip(pick, found, strict=True):
+            for i, pos in enumerate(rows.column("_pos").to_pylist()):
                 words = block.text(i).split()
                 n_words.append(len(words))
+                gone = 0
                 if pos:
-                    p = np.sort(np.frombuffer(b"".join(pos), np.uint32).astype(np.int64))
-                    left, end, gone = [], 0, 0
-                    for lo, hi in zip(*runs(p, width, len(words)), strict=True):
+                    left, end = [], 0
+                    for lo, hi in zip(*runs(np.sort(np.frombuffer(pos, np.uint32).astype(np.int64)), width, len(words)), strict=True):
                         left += words[end:lo]
                         gone += int(hi - lo)
                         end = hi
                     words = left + words[end:]
-                    n_removed.append(gone)
-                else:
-                    n_removed.append(0)
+                n_removed.append(gone)
                 kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([*(rows.column(c).take(pa.array(pick)) for c in columns), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], [*columns, "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], [*columns, "n_words", "n_removed", "kept_text"])
 
     return run
 
@@ -123,19 +116,16 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "n_removed", "kept_text")]
     flags = written(repeated_windows(docs, id_col, text_col, width), "repeated_windows")
-    maybe = IdFilter(flags, "doc_id")
     safe = {c: f"_c{i}" for i, c in enumerate(keep)}
     rows = docs.select(*(F.col(f"`{c}`").alias(a) for c, a in safe.items()), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    rows = rows.withColumn("_at", IdFilter.position("_id"))
-    kinds = [T.StructField(a, docs.schema[c].dataType) for c, a in safe.items()]
-    done = T.StructType([*kinds, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    going = T.StructType([*kinds, T.StructField("_id", T.LongType()), T.StructField("_text", T.StringType()), T.StructField("_tag", T.LongType())])
+    rows = IdFilter(flags, "doc_id").mark(rows, "_id", "_maybe")
     names = list(safe.values())
-    clean = rows.mapInArrow(_finish(width, names, maybe.slices), done)
-    touched = rows.mapInArrow(_finish(width, names, maybe.slices, held=True), going)
-    by_doc = flags.groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).agg(F.collect_list("pos").alias("_pos"))
-    touched = touched.join(by_doc, ["_id", "_tag"], "left").mapInArrow(_finish(width, names), done)
-    return clean.unionByName(touched).select(*(F.col(a).alias(c) for c, a in safe.items()), "n_words", "n_removed", "kept_text")
+    done = T.StructType([*(T.StructField(a, docs.schema[c].dataType) for c, a in safe.items()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+    clean = rows.filter("NOT _maybe").select(*names, "_text", F.lit(None).cast("binary").alias("_pos"))
+    flags = flags.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("pos").alias("_pos"))
+    touched = rows.filter("_maybe").withColumn("_tag", F.crc32(F.coalesce("_text", F.lit("")).cast("binary"))).join(flags, ["_id", "_tag"], "left").select(*names, "_text", "_pos")
+    out = clean.mapInArrow(_finish(width, names), done).unionByName(touched.mapInArrow(_finish(width, names), done))
+    return out.select(*(F.col(a).alias(c) for c, a in safe.items()), "n_words", "n_removed", "kept_text")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
