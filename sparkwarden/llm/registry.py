@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, sharding, substring_dedup
+from . import byte_dedup, decontamination, jaccard_join, packing, sharding, substring_dedup
 
 MODULES = {
     "op2_decontamination": decontamination,
+    "op6_jaccard_join": jaccard_join,
+    "op8_byte_dedup": byte_dedup,
     "op9_sharding": sharding,
     "op10_packing": packing,
     "op5_substring_dedup": substring_dedup,
