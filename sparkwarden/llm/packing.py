@@ -13,6 +13,7 @@ capacity are cut; all pieces but the last are then full. Rows that share an id a
 from __future__ import annotations
 
 import random
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -28,63 +29,75 @@ from .shared import written
 CAPACITY = 2048
 END_ID = 0
 #: Chunks whose ids a Python worker keeps at once.
-MEMO = 600_000
+MEMO = 1_000_000
 
-_memo: dict[bytes, bytes] = {}
-_tokenizer: tuple[int, object] | None = None
 
+def _byte_letters() -> list[str]:
+    """The characters that stand for the 256 bytes in byte-level vocabularies: printable ones for themselves, others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = {b: chr(b) for b in shown}
+    for b in range(256):
+        out.setdefault(b, chr(256 + len(out) - len(shown)))
+    return [out[b] for b in range(256)]
 
-def _loaded(definition: str):
-    global _tokenizer
-    if _tokenizer is None or _tokenizer[0] != hash(definition):
+
+class Encoder(dict):
+    """Ids of chunks between white space, as little-endian 32-bit numbers, kept from text to text.
+
+    No token of a tokenizer that drops white space spans any, so a text's ids are those of its chunks. Words of Latin-1
+    letters are one piece for the tokenizer and go straight to its model; other chunks take its whole course.
+    """
+
+    def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
-        _tokenizer = hash(definition), Tokenizer.from_str(definition)
-        _memo.clear()
-    return _tokenizer[1]
+        self.tokenizer = Tokenizer.from_str(definition)
+        self.letters = _byte_letters()
 
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if text.isalpha() and max(text) <= "\xff":
+            ids = [t.id for t in self.tokenizer.model.tokenize("".join([self.letters[b] for b in text.lower().encode()]))]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-def _parts(chunk: bytes) -> list[bytes]:
-    """Pieces that are tokenized each on its own: case of A-Z doesn't matter, and marks after a final letter stand alone."""
-    if b"<|" in chunk:  # may be a special token, which is matched as written
-        return [chunk]
-    chunk = chunk.lower()
-    core = chunk.rstrip(b".,;:!?")
-    if core != chunk and core and 97 <= core[-1] <= 122:
-        return [core, chunk[len(core) :]]
-    return [chunk]
+    def __missing__(self, chunk: bytes) -> bytes:
+        core = chunk.rstrip(b".,;:!?")
+        if core != chunk and core[-1:].isalpha() and b"<|" not in chunk:  # marks after a final letter are a piece of their own
+            ids = self[core] + self[chunk[len(core) :]]
+        else:
+            ids = self._word(chunk)
+        self[chunk] = ids
+        return ids
 
+    def encode(self, text: bytes) -> bytes:
+        if len(self) > MEMO:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.split()))
 
-def encode(texts: list[bytes], tokenizer) -> list[bytes]:
-    """Ids of each text as little-endian 32-bit numbers.
 
-    No token of this tokenizer spans white space, so a text's ids are those of its chunks between ASCII white space.
-    """
-    chunks = [t.split() for t in texts]
-    if len(_memo) > MEMO:
-        _memo.clear()
-    need = {c for own in chunks for c in own if c not in _memo}
-    parts = {c: _parts(c) for c in need}
-    new = [p for p in {p for x in parts.values() for p in x} if p not in _memo]
-    for p, e in zip(new, tokenizer.encode_batch([p.decode("utf-8", "replace") for p in new], add_special_tokens=False), strict=True):
-        _memo[p] = np.array(e.ids, "<u4").tobytes()
-    for c, x in parts.items():
-        if c not in _memo:
-            _memo[c] = b"".join(_memo[p] for p in x)
-    get = _memo.__getitem__
-    return [b"".join(map(get, own)) for own in chunks]
+_encoders: dict[int, Encoder] = {}
+
+
+def _loaded(definition: str) -> Encoder:
+    key = hash(definition)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(definition)
+    return _encoders[key]
 
 
 def _tokenized(definition, capacity: int, keep_ids: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _loaded(definition.value)
+        encoder = _loaded(definition.value)
         end = np.array([END_ID], "<u4").tobytes()
         for block in blocks(batches, "_text", 2 << 20):
             base = random.getrandbits(38) << 24
             rows = []
             ids, known = block.ints("_id")
-            for i, own in enumerate(encode([block.text(i) for i in range(len(block))], tokenizer)):
-                own += end
+            for i in range(len(block)):
+                own = encoder.encode(block.text(i)) + end
                 for piece, at in enumerate(range(0, len(own), 4 * capacity)):
                     part = own[at : at + 4 * capacity]
                     rows.append((int(ids[i]) if known[i] else None, piece, at // 4, len(part) // 4, zlib.crc32(part), base + len(rows), part if keep_ids else None))
