@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_dedup, decontamination, jaccard_join, packing, sharding, substring_dedup
+from . import byte_dedup, decontamination, jaccard_join, packing, quality_rules, sharding, substring_dedup
 
 MODULES = {
     "op2_decontamination": decontamination,
+    "op3_quality_rules": quality_rules,
     "op6_jaccard_join": jaccard_join,
     "op8_byte_dedup": byte_dedup,
     "op9_sharding": sharding,
