@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_dedup, decontamination, jaccard_join, packing, quality_rules, sharding, substring_dedup
+from . import byte_dedup, decontamination, jaccard_join, packing, quality_rules, sharding, substring_dedup, warc_index
 
 MODULES = {
+    "op1_warc_index": warc_index,
     "op2_decontamination": decontamination,
     "op3_quality_rules": quality_rules,
     "op6_jaccard_join": jaccard_join,
