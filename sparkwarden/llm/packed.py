@@ -96,15 +96,16 @@ class Entries:
         self.row = np.repeat(np.arange(len(rows)), [len(r[3]) // HASH_BYTES for r in rows]) if hashes and rows else None
 
 
-def unpack(batches: Iterable[pa.RecordBatch], hashes: int, numbers: list[str]) -> tuple[Entries, Entries]:
-    """All entries of a partition, of kind 0 and of kind 1 (which has no hashes)."""
+def unpack(batches: Iterable[pa.RecordBatch], hashes: int, numbers: list[str], more: int | None = None) -> tuple[Entries, ...]:
+    """All entries of a partition, of kind 0 and of kind 1 (which has no hashes); and of kind `more`, which has."""
     names = ["ids", "tags", "counts"] + [f"h{i}" for i in range(hashes)] + [f"{c}{k}" for c in numbers for k in range(4)]
-    rows: dict[int, list[tuple]] = {0: [], 1: []}
+    rows: dict[int, list[tuple]] = {0: [], 1: [], more or 0: []}
     for b in batches:
         cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in names]
         for kind, *row in zip(b.column(b.schema.get_field_index("kind")).to_pylist(), *cols, strict=True):
-            rows[kind].append(tuple(row) if kind == 0 else tuple(row[:3]) + tuple(row[3 + hashes :]))
-    return Entries(rows[0], hashes, numbers), Entries(rows[1], 0, numbers)
+            rows[kind].append(tuple(row) if kind != 1 else tuple(row[:3]) + tuple(row[3 + hashes :]))
+    found = Entries(rows[0], hashes, numbers), Entries(rows[1], 0, numbers)
+    return (*found, Entries(rows[more], hashes, numbers)) if more else found
 
 
 def dealt(packed: DataFrame) -> DataFrame:

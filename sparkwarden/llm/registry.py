@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import byte_dedup, decontamination, jaccard_join, packing, quality_rules, sharding, substring_dedup, warc_index
+from . import byte_dedup, decontamination, html_text, jaccard_join, lm_scoring, packing, quality_rules, sharding, substring_dedup, warc_index
 
 MODULES = {
     "op1_warc_index": warc_index,
     "op2_decontamination": decontamination,
     "op3_quality_rules": quality_rules,
+    "op4_html_text": html_text,
     "op6_jaccard_join": jaccard_join,
+    "op7_lm_scoring": lm_scoring,
     "op8_byte_dedup": byte_dedup,
     "op9_sharding": sharding,
     "op10_packing": packing,
