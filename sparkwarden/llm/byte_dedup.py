@@ -62,7 +62,7 @@ def phrases(data: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.nda
         at = (np.minimum(back[:k], ahead[grams - 1 : grams - 1 + k]) & ((U64(1) << bits) - U64(1))).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         count = np.diff(np.append(first, k))
-        trigger = h[at[first]]
+        trigger = mix(h[at[first]] ^ U64(0xD6E8FEB86659FD93))  # smallest hashes are small numbers; these are spread again
         end = first + count - 1 + width
         whole = mix((sums[end] - sums[first]) * down[first] + (at[first] - first).astype(U64) * U64(0xA0761D6478BD642F) + count.astype(U64) * U64(0xE7037ED1A0B428DB))
         out.append((first + lo, count, trigger, whole))
