@@ -6,11 +6,12 @@ as one. Two documents link when 100 * |intersection| >= percent * |union|. The s
 1. Shingles are counted over all documents. A linked document shares at least percent of its own set with another one,
    so a document with fewer shingles that occur elsewhere stays alone.
 2. The others fall into classes of equal sets. Sizes fall into bands so that partners are in one band or in adjacent
-   ones. In a band, linked sets differ in at most H shingles. The universe is hashed into H + 1 segments, so linked sets
-   have some segment in common, and classes are listed by segment.
+   ones. In a band, linked sets differ in at most H shingles. The universe is hashed into somewhat more than H + 1
+   segments, so linked sets have some segments in common, and classes are listed by segment.
 3. Each segment has a cost, the length of its list. With budgets of 0 (leave out), 1 (equal segment) and 2 (equal but for
-   one shingle, found by one-deletion neighbourhoods) for the segments, a sum of H + 1 loses nothing. So a class leaves out
-   costly segments whose lists still hold several components and gives as many of its cheapest ones a budget of 2.
+   one shingle, found by one-deletion neighbourhoods) for the segments, a sum of H + 1 loses nothing. The segments in
+   excess pay for leaving out empty segments, which would list most classes of a band. A class also leaves out costly
+   segments whose lists still hold several components, and gives as many of its cheapest ones a budget of 2.
 4. Every candidate is verified on the sets. Pairs within one component need no test, so lists are first tried by one
    representative for each component in them; then all pairs of different components are.
 
@@ -136,13 +137,37 @@ def most_different(percent: int, high: int) -> int:
 SIGNATURE = "sig long, c long, scheme int, segment int"
 
 
-def _segments(elements: np.ndarray, scheme: int, lows: list[int], percent: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of segments, each element's segment, and each segment's sum of mixed elements."""
-    m = most_different(percent, lows[scheme + 1] - 1) + 1
-    own = (mix(elements ^ U64(0x5851F42D4C957F2D)) % U64(m)).astype(np.int64)
-    sums = np.zeros(m, U64)
-    np.add.at(sums, own, mix(elements))
-    return m, own, sums
+class Segments:
+    """A set's segments in a scheme: number m, each element's segment, sizes, sums, and the budget that its links need."""
+
+    def __init__(self, elements: np.ndarray, scheme: int, percent: int):
+        lows = bands(percent, len(elements))
+        high = lows[scheme + 1] - 1
+        most = most_different(percent, high)
+        self.m = most + 1 + 2 + (8 * most + 99) // 100
+        self.own = (mix(elements ^ U64(0x5851F42D4C957F2D)) % U64(self.m)).astype(np.int64)
+        self.mixed = mix(elements)
+        self.sums = np.zeros(self.m, U64)
+        np.add.at(self.sums, self.own, self.mixed)
+        self.sizes = np.bincount(self.own, minlength=self.m)
+        partner = min(high, 100 * len(elements) // percent)
+        self.alone = partner < lows[scheme] and len(elements) < lows[scheme]  # no partner is large enough for this scheme
+        self.need = (100 - percent) * (len(elements) + partner) // (100 + percent) + 1
+        empty = int((self.sizes == 0).sum())
+        #: The segments that the set is listed by.
+        self.listed = self.sizes > 0 if self.m - empty >= self.need else np.ones(self.m, bool)
+
+    def probes(self, costly: list[int], segments: list[int], costs: list[int]) -> np.ndarray | None:
+        """The segments with budget 2 if the costly ones are left out; None if no choice is enough."""
+        free = self.listed.copy()
+        free[costly] = False
+        missing = max(0, self.need - int(free.sum()))
+        cost = np.ones(self.m, np.int64)
+        cost[segments] = costs
+        can = np.flatnonzero(free & (self.sizes > 1))
+        if len(can) < missing:
+            return None
+        return can[np.argsort((cost * (1 + self.sizes))[can], kind="stable")[:missing]]
 
 
 def _named(sums: np.ndarray, segment: np.ndarray, scheme: int, size: np.ndarray) -> np.ndarray:
@@ -156,12 +181,12 @@ def _signed(percent: int):
             out: list[list[np.ndarray]] = []
             for c, raw in zip(batch.column("c").to_pylist(), batch.column("elements").to_pylist(), strict=True):
                 e = np.frombuffer(raw, U64)
-                lows = bands(percent, len(e))
-                band = len(lows) - 3
+                band = len(bands(percent, len(e))) - 3
                 for scheme in (band, band + 1):
-                    m, own, sums = _segments(e, scheme, lows, percent)
-                    seg = np.arange(m)
-                    out.append([_named(sums, seg, scheme, np.bincount(own, minlength=m)), np.full(m, c), np.full(m, scheme), seg])
+                    s = Segments(e, scheme, percent)
+                    if not s.alone:
+                        seg = np.flatnonzero(s.listed)
+                        out.append([_named(s.sums[seg], seg, scheme, s.sizes[seg]), np.full(len(seg), c), np.full(len(seg), scheme), seg])
             if out:
                 cols = [np.concatenate(x) for x in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], ["sig", "c", "scheme", "segment"])
@@ -169,6 +194,17 @@ def _signed(percent: int):
     return run
 
 
+def _able(percent: int):
+    """Whether a class can leave out its costly segments."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            able = [Segments(np.frombuffer(r["elements"], U64), r["scheme"], percent).probes(r["costly"], r["segments"], r["costs"]) is not None for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("scheme"), pa.array(able, pa.bool_())], ["c", "scheme", "able"])
+
+    return run
+
+
 def _neighbours(percent: int):
     """For classes with costly segments: whole segments and one-deletion neighbourhoods of all segments (index), and of the chosen (probe)."""
 
@@ -176,20 +212,14 @@ def _neighbours(percent: int):
         for batch in batches:
             out: list[list[np.ndarray]] = []
             for row in batch.to_pylist():
-                e = np.frombuffer(row["elements"], U64)
-                scheme = row["scheme"]
-                m, own, sums = _segments(e, scheme, bands(percent, len(e)), percent)
-                size = np.bincount(own, minlength=m)
-                cost = np.ones(m, np.int64)
-                cost[row["segments"]] = row["costs"]
-                skip = np.zeros(m, bool)
-                skip[row["costly"]] = True
-                cheap = np.flatnonzero(~skip)[np.argsort((cost * (1 + size))[~skip], kind="stable")]
-                probe = np.zeros(m, bool)
-                probe[cheap[: skip.sum()]] = True
-                seg = np.arange(m)
-                for whole, s, k, g in ((True, sums, size, seg), (False, sums[own] - mix(e), size[own] - 1, own)):
-                    sig = _named(s, g, scheme, k)
+                s = Segments(np.frombuffer(row["elements"], U64), row["scheme"], percent)
+                chosen = s.probes(row["costly"], row["segments"], row["costs"])
+                probe = np.zeros(s.m, bool)
+                probe[chosen if chosen is not None else []] = True
+                seg = np.flatnonzero(s.sizes)
+                more = np.flatnonzero(s.sizes[s.own] > 1)
+                for whole, sums, sizes, g in ((True, s.sums[seg], s.sizes[seg], seg), (False, s.sums[s.own[more]] - s.mixed[more], s.sizes[s.own[more]] - 1, s.own[more])):
+                    sig = _named(sums, g, row["scheme"], sizes)
                     out.append([sig, np.full(len(sig), row["c"]), np.full(len(sig), whole), probe[g]])
             if out:
                 sig, c, whole, probe = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -262,22 +292,16 @@ def class_links(classes: DataFrame, percent: int = PERCENT, costly: int = COSTLY
 
 def _candidates(rest: DataFrame, listed: DataFrame, classes: DataFrame, percent: int, costly: int) -> DataFrame:
     """All pairs of different components that share a segment that neither left out, or differ in one shingle in a segment that took its place."""
-    lows = bands(percent, classes.agg(F.max("size")).first()[0])
-    segments = [(k, most_different(percent, lows[k + 1] - 1) + 1) for k in range(len(lows) - 1)]
     hot = rest.filter(F.col("n") > costly).groupBy("c", "scheme").agg(F.collect_set("segment").alias("costly"))
     # Lists of one class cost 1 and are not in listed.
     costs = listed.join(hot.select("c", "scheme"), ["c", "scheme"], "left_semi").groupBy("c", "scheme").agg(F.collect_list("segment").alias("segments"), F.collect_list("n").alias("costs"))
-    # One row per band, so as many as the logarithm of the largest set.
-    hot = hot.join(costs, ["c", "scheme"]).join(F.broadcast(rest.sparkSession.createDataFrame(segments, "scheme int, m int")), "scheme")
-    # Where costly segments outnumber the others, leaving all of them out would lose links: the class keeps its lists.
-    able = hot.filter(2 * F.size("costly") <= F.col("m"))
-    mark = able.select("c", "scheme", F.lit(True).alias("able"))
+    mine = written(hot.join(costs, ["c", "scheme"]).join(classes.select("c", "elements"), "c").select("c", "scheme", "costly", "segments", "costs", "elements"), "costly_classes")
+    # Where too few cheap segments are left, leaving out the costly ones would lose links: the class keeps its lists.
+    mark = mine.mapInArrow(_able(percent), "c long, scheme int, able boolean")
     rest = rest.join(mark, ["c", "scheme"], "left").withColumn("skips", F.coalesce("able", F.lit(False)) & (F.col("n") > costly))
     x, y = (rest.select("sig", F.col("c").alias(c), F.col("comp").alias(f"{c}_comp"), F.col("skips").alias(f"{c}_skips")) for c in ("a", "b"))
     pairs = x.join(y, "sig").filter("a < b AND a_comp <> b_comp AND NOT (a_skips OR b_skips)").select("a", "b")
-    mine = hot.join(mark, ["c", "scheme"], "left").withColumn("costly", F.when(F.col("able"), F.col("costly")).otherwise(F.array().cast("array<int>")))
-    index = mine.join(classes.select("c", "elements"), "c").select("c", "scheme", "costly", "segments", "costs", "elements").mapInArrow(_neighbours(percent), "sig long, c long, whole boolean, probe boolean")
-    index = written(index, "neighbourhoods")
+    index = written(mine.mapInArrow(_neighbours(percent), "sig long, c long, whole boolean, probe boolean"), "neighbourhoods")
     comp = rest.select("c", "comp").distinct()
     probe = index.filter("probe").select("sig", F.col("c").alias("a"), F.col("whole").alias("wa")).join(comp.select(F.col("c").alias("a"), F.col("comp").alias("a_comp")), "a")
     other = index.select("sig", F.col("c").alias("b"), F.col("whole").alias("wb")).join(comp.select(F.col("c").alias("b"), F.col("comp").alias("b_comp")), "b")
