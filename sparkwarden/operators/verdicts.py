@@ -52,12 +52,13 @@ def exit_code(verdict: Column) -> Column:
     return F.when(verdict == "green", 0).when(verdict == "yellow", 1).when(verdict == "red", 2).otherwise(3)
 
 
-REPORT_ORDER = [severity_rank(F.col("severity")).desc(), F.col("file").asc(), F.coalesce(F.col("line"), F.lit(0)).asc(), F.col("id").asc()]
+def report_order() -> list[Column]:
+    return [severity_rank(F.col("severity")).desc(), F.col("file").asc(), F.coalesce(F.col("line"), F.lit(0)).asc(), F.col("id").asc()]
 
 
 def reported(findings: DataFrame, most: int = REPORTED, tie: str | None = None) -> DataFrame:
     """The first `most` findings of each repository in report order, with their place from 1."""
-    w = Window.partitionBy("repo_id").orderBy(*REPORT_ORDER, *([F.col(tie)] if tie else []))
+    w = Window.partitionBy("repo_id").orderBy(*report_order(), *([F.col(tie)] if tie else []))
     return findings.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
 
 
@@ -69,7 +70,7 @@ def tallies(findings: DataFrame) -> DataFrame:
 
 def hidden_kinds(findings: DataFrame, most: int = REPORTED, tie: str | None = None) -> DataFrame:
     """Sorted distinct ids of the findings beyond the cap."""
-    w = Window.partitionBy("repo_id").orderBy(*REPORT_ORDER, *([F.col(tie)] if tie else []))
+    w = Window.partitionBy("repo_id").orderBy(*report_order(), *([F.col(tie)] if tie else []))
     rest = findings.withColumn("place", F.row_number().over(w)).filter(F.col("place") > most)
     return rest.groupBy("repo_id").agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("hidden"), F.count(F.lit(1)).alias("n_hidden"))
 
