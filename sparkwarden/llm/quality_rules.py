@@ -32,17 +32,18 @@ MIN_PRECISION, MIN_HELD = 0.9, 0.8
 CUTS = 40
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+#: Statistics that rules may use, as SQL.
 FEATURES = {
-    "n_words": F.col("n_words").cast("double"),
-    "chars_per_word": F.col("word_chars") / F.col("n_words"),
-    "symbols_per_word": F.col("n_symbols") / F.col("n_words"),
-    "dup_line_share": F.col("n_dup_lines") / F.col("_n_lines"),
-    "repeat_share": F.col("n_repeat_words") / F.col("n_words"),
-    "distinct_share": F.col("_n_distinct") / F.col("n_words"),
-    "upper_share": F.col("_n_upper") / F.col("word_chars"),
-    "digit_share": F.col("_n_digits") / F.col("word_chars"),
-    "marks_per_word": F.col("_n_marks") / F.col("n_words"),
-    "words_per_line": F.col("n_words") / F.col("_n_lines"),
+    "n_words": "cast(n_words AS double)",
+    "chars_per_word": "word_chars / n_words",
+    "symbols_per_word": "n_symbols / n_words",
+    "dup_line_share": "n_dup_lines / _n_lines",
+    "repeat_share": "n_repeat_words / n_words",
+    "distinct_share": "_n_distinct / n_words",
+    "upper_share": "_n_upper / word_chars",
+    "digit_share": "_n_digits / word_chars",
+    "marks_per_word": "_n_marks / n_words",
+    "words_per_line": "n_words / _n_lines",
 }
 
 
@@ -109,7 +110,7 @@ class Condition:
     cut: float
 
     def column(self) -> Column:
-        x = FEATURES[self.feature]
+        x = F.expr(FEATURES[self.feature])
         return (x > self.cut) if self.above else (x <= self.cut)
 
     def __str__(self) -> str:
@@ -126,7 +127,7 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     marked = marked.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, max_rows / max(n, 1)))))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "_id")  # the sample is bounded
     rows = statistics(rows).filter(~base_failed())
-    return rows.select((F.col("_q") == 0).alias("bad"), (F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(3)) > 0).alias("grow"), *(c.alias(f"f_{k}") for k, c in FEATURES.items()))
+    return rows.select((F.col("_q") == 0).alias("bad"), (F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(3)) > 0).alias("grow"), *(F.expr(c).alias(f"f_{k}") for k, c in FEATURES.items()))
 
 
 def _gain(p0: int, n0: int, p: int, n: int) -> float:
