@@ -43,8 +43,12 @@ def admitted(requests: DataFrame, window_ms: int = WINDOW_MS, most: int = MAX_RE
     return rows.repartition("client").sortWithinPartitions("client", "at", "seq").mapInArrow(run, f"client {kind}, at long, seq long, allowed boolean")
 
 
-def admitted_stream(requests: DataFrame, window_ms: int = WINDOW_MS, most: int = MAX_REQUESTS) -> DataFrame:
-    """The same over a stream of (client string, at long, seq long), with the client's log as keyed state that times out with the window."""
+def admitted_stream(requests: DataFrame, window_ms: int = WINDOW_MS, most: int = MAX_REQUESTS, expire: bool = True) -> DataFrame:
+    """The same over a stream of (client string, at long, seq long), with the client's log as keyed state.
+
+    expire: a log goes when its client was silent for the window. Spark then also runs batches without data, so a query
+    that is to end by itself takes expire=False.
+    """
 
     def run(key: tuple, pdfs: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -57,10 +61,11 @@ def admitted_stream(requests: DataFrame, window_ms: int = WINDOW_MS, most: int =
             kept, ok = _admit(kept, int(at), window_ms, most)
             allowed.append(ok)
         state.update((kept,))
-        state.setTimeoutDuration(window_ms)
+        if expire:
+            state.setTimeoutDuration(window_ms)
         yield pd.DataFrame({"client": key[0], "at": rows["at"], "seq": rows["seq"], "allowed": allowed})
 
-    return requests.groupBy("client").applyInPandasWithState(run, "client string, at long, seq long, allowed boolean", "kept array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.groupBy("client").applyInPandasWithState(run, "client string, at long, seq long, allowed boolean", "kept array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
 
 
 def served(requests: DataFrame, ttl_ms: int = CACHE_MS) -> DataFrame:

@@ -114,7 +114,7 @@ def test_limiter_batch_equals_stream(spark, tmp_path):
     assert {r["seq"]: r["allowed"] for r in admission.admitted(df).collect()} == want
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = admission.admitted_stream(stream).writeStream.format("memory").queryName("admitted").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q = admission.admitted_stream(stream, expire=False).writeStream.format("memory").queryName("admitted").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     try:
         assert q.awaitTermination(60)
     finally:
