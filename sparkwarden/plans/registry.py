@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import text as tx
-from sparkwarden.operators import context, dependencies, grading, rewrites, selection, signatures, verdicts
+from sparkwarden.operators import configuration, context, dependencies, grading, rewrites, selection, signatures, verdicts
 from sparkwarden.plans import reports
 from sparkwarden.sources import carrier
 from sparkwarden.streaming import admission
@@ -348,6 +348,38 @@ def verdict_cache(spark, d):
     return admission.served(requests(spark, d).withColumnRenamed("client", "key"), 86_400_000).withColumnRenamed("at", "at_ms")
 
 
+CONFIG = carrier.sql("customer", carrier.CONFIG_COLUMNS)
+
+
+def _configuration_sql() -> str:
+    parts = []
+    for r in configuration.FILE_RULES:
+        where = f"regexp_matches(path, '{_re2(r.route)}') AND regexp_matches(content, '{_re2(r.pattern)}')"
+        where += f" AND regexp_matches(content, '{_re2(r.also)}')" if r.also else ""
+        where += f" AND NOT regexp_matches(content, '{_re2(r.unless)}')" if r.unless else ""
+        severity = f"CASE WHEN regexp_matches(content, '{_re2(r.weak_unless)}') THEN '{r.severity}' ELSE 'low' END" if r.weak_unless else f"'{r.severity}'"
+        parts.append(f"SELECT repo_id, '{r.id}' AS id, {severity} AS severity, path AS file, 2 AS line FROM f WHERE {where}")
+    return f"WITH f AS {CONFIG} " + " UNION ALL ".join(parts)
+
+
+@query("configuration_files", _configuration_sql())
+def configuration_files(spark, d):
+    return configuration.file_findings(carrier.table(spark, d, "customer", carrier.CONFIG_COLUMNS))
+
+
+@query("configuration_lines", f"""SELECT repo_id, id, severity, path AS file, 2 AS line FROM (SELECT *, CASE WHEN path = 'requirements.txt' AND content LIKE '%--index-url%' THEN 'requirements-custom-index' WHEN path = 'requirements.txt' AND content LIKE '%git+https:%' THEN 'requirements-url-dependency'
+    WHEN path = '.npmrc' AND content LIKE '%registry = %' AND content NOT LIKE '%npmjs%' THEN 'npmrc-registry-override' WHEN path = '.yarnrc.yml' AND content LIKE '%yarnPath: ./evil%' THEN 'yarnrc-yarnpath' END AS id,
+    CASE WHEN path = '.yarnrc.yml' OR content LIKE '%192.0.2.1%' THEN 'high' ELSE 'medium' END AS severity FROM {CONFIG} f) WHERE id IS NOT NULL""")
+def configuration_lines(spark, d):
+    return configuration.line_findings(carrier.table(spark, d, "customer", carrier.CONFIG_COLUMNS))
+
+
+@query("agent_instructions", f"""SELECT repo_id, path AS file, 'agent-instruction-file' AS id, CASE WHEN content LIKE '%ignore all previous%' OR content LIKE '%never tell%' THEN 'high' ELSE 'low' END AS severity,
+    CASE WHEN content LIKE '%ignore all previous%' THEN 'override' WHEN content LIKE '%never tell%' THEN 'conceal' ELSE 'present' END AS what FROM {CONFIG} f WHERE path = 'AGENTS.md'""")
+def agent_instructions(spark, d):
+    return configuration.instruction_findings(carrier.table(spark, d, "customer", carrier.CONFIG_COLUMNS), selection.PATTERNS["instructions"])
+
+
 def scanned(spark, d) -> tuple[DataFrame, DataFrame]:
     """All findings over the carrier's repositories, rewritten, and the verdicts."""
     f = files(spark, d)
