@@ -22,6 +22,7 @@ two. Sets hold 64-bit hashes of shingles.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,6 +39,8 @@ WIDTH, PERCENT = 5, 75
 #: Classes in a list up to which its segment is not costly.
 COSTLY = 64
 ROUNDS = 3
+#: Classes whose signatures a task holds before it sends them.
+FLUSH = 400
 
 
 def shingle_sets(block: Block, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +119,9 @@ def _sets(width: int):
             h, text = shingle_sets(block, width)
             at = np.searchsorted(text, np.arange(len(block) + 1))
             rows = block.rows
-            yield pa.RecordBatch.from_arrays([rows.column("_id"), rows.column("_tag"), pa.array([h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["doc_id", "tag", "elements"])
+            keys = [hashlib.md5(h[a:b].tobytes()).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
+            elements = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([rows.column("_id"), rows.column("_tag"), pa.array(keys, pa.string()), elements], ["doc_id", "tag", "set_key", "elements"])
 
     return run
 
@@ -167,7 +172,7 @@ class Segments:
         can = np.flatnonzero(free & (self.sizes > 1))
         if len(can) < missing:
             return None
-        return can[np.argsort((cost * (1 + self.sizes))[can], kind="stable")[:missing]]
+        return can[np.lexsort((-self.sizes[can], cost[can]))[:missing]]  # of a larger segment, what is left says more
 
 
 def _named(sums: np.ndarray, segment: np.ndarray, scheme: int, size: np.ndarray) -> np.ndarray:
@@ -178,28 +183,34 @@ def _named(sums: np.ndarray, segment: np.ndarray, scheme: int, size: np.ndarray)
 def _signed(percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = []
-            for c, raw in zip(batch.column("c").to_pylist(), batch.column("elements").to_pylist(), strict=True):
-                e = np.frombuffer(raw, U64)
+            held: list[list[np.ndarray]] = []
+            lists = batch.column("elements")
+            at, values = np.asarray(lists.offsets), np.asarray(lists.values).view(U64)
+            for i, c in enumerate(batch.column("c").to_pylist()):
+                e = values[at[i] : at[i + 1]]
                 band = len(bands(percent, len(e))) - 3
                 for scheme in (band, band + 1):
                     s = Segments(e, scheme, percent)
                     if not s.alone:
                         seg = np.flatnonzero(s.listed)
-                        out.append([_named(s.sums[seg], seg, scheme, s.sizes[seg]), np.full(len(seg), c), np.full(len(seg), scheme), seg])
-            if out:
-                cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], ["sig", "c", "scheme", "segment"])
+                        held.append([_named(s.sums[seg], seg, scheme, s.sizes[seg]), np.full(len(seg), c), np.full(len(seg), scheme, np.int32), seg.astype(np.int32)])
+                if len(held) >= FLUSH or (held and i == batch.num_rows - 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["sig", "c", "scheme", "segment"])
+                    held = []
 
     return run
 
 
+def _elements(row: dict) -> np.ndarray:
+    return np.array(row["elements"], np.int64).view(U64)
+
+
 def _able(percent: int):
     """Whether a class can leave out its costly segments."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            able = [Segments(np.frombuffer(r["elements"], U64), r["scheme"], percent).probes(r["costly"], r["segments"], r["costs"]) is not None for r in batch.to_pylist()]
+            able = [Segments(_elements(r), r["scheme"], percent).probes(r["costly"], r["segments"], r["costs"]) is not None for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("scheme"), pa.array(able, pa.bool_())], ["c", "scheme", "able"])
 
     return run
@@ -210,9 +221,8 @@ def _neighbours(percent: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = []
             for row in batch.to_pylist():
-                s = Segments(np.frombuffer(row["elements"], U64), row["scheme"], percent)
+                s = Segments(_elements(row), row["scheme"], percent)
                 chosen = s.probes(row["costly"], row["segments"], row["costs"])
                 probe = np.zeros(s.m, bool)
                 probe[chosen if chosen is not None else []] = True
@@ -220,24 +230,7 @@ def _neighbours(percent: int):
                 more = np.flatnonzero(s.sizes[s.own] > 1)
                 for whole, sums, sizes, g in ((True, s.sums[seg], s.sizes[seg], seg), (False, s.sums[s.own[more]] - s.mixed[more], s.sizes[s.own[more]] - 1, s.own[more])):
                     sig = _named(sums, g, row["scheme"], sizes)
-                    out.append([sig, np.full(len(sig), row["c"]), np.full(len(sig), whole), probe[g]])
-            if out:
-                sig, c, whole, probe = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(c), pa.array(whole), pa.array(probe)], ["sig", "c", "whole", "probe"])
-
-    return run
-
-
-def _verified(percent: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("ea"), batch.column("eb"), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                both = len(a) + len(b) - len(np.union1d(a, b)) if len(a) and len(b) else 0
-                keep.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.full(len(sig), row["c"])), pa.array(np.full(len(sig), whole)), pa.array(probe[g])], ["sig", "c", "whole", "probe"])
 
     return run
 
@@ -248,7 +241,8 @@ def _links(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.join(sides.select(F.col("c").alias("a"), F.col("size").alias("na")), "a").join(sides.select(F.col("c").alias("b"), F.col("size").alias("nb")), "b")
     pairs = pairs.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
     full = pairs.join(sides.select(F.col("c").alias("a"), F.col("elements").alias("ea")), "a").join(sides.select(F.col("c").alias("b"), F.col("elements").alias("eb")), "b")
-    return full.mapInArrow(_verified(percent), "a long, b long")
+    both = full.select("a", "b", F.size(F.array_intersect("ea", "eb")).alias("both"), (F.size("ea") + F.size("eb")).alias("sum"))
+    return both.filter((F.col("both") > 0) & (100 * F.col("both") >= percent * (F.col("sum") - F.col("both")))).select("a", "b")
 
 
 def _ordered(a, b) -> list:
@@ -316,10 +310,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sizes = written(set_sizes(rows.filter("_id IS NOT NULL"), width), "set_sizes")
     near = sizes.filter(f"n_shingles > 0 AND 100 * shared >= {percent} * n_shingles").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"))
     texts = IdFilter(near, "_id").mark(rows, "_id", "_maybe").filter("_maybe").withColumn("_tag", tag).join(near, ["_id", "_tag"]).select("_id", "_tag", "_text")
-    sets = texts.mapInArrow(_sets(width), "doc_id long, tag long, elements binary").withColumn("set_key", F.md5("elements"))
+    sets = texts.mapInArrow(_sets(width), "doc_id long, tag long, set_key string, elements array<long>")
     sets = written(sets, "sets")
     classes = sets.groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.first("elements").alias("elements"))
-    classes = written(classes.select(F.monotonically_increasing_id().alias("c"), "set_key", "first_id", F.expr("length(elements) div 8").alias("size"), "elements"), "classes")
+    classes = written(classes.select(F.monotonically_increasing_id().alias("c"), "set_key", "first_id", F.size("elements").cast("long").alias("size"), "elements"), "classes")
     comps = components(class_links(classes, percent)).select(F.col("node").alias("c"), "component")
     named = classes.select("c", "set_key", "first_id").join(comps, "c", "left").withColumn("comp", F.coalesce("component", "c"))
     smallest = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
@@ -327,8 +321,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     linked = sets.select("doc_id", "tag", "set_key").distinct().join(named, "set_key").select("doc_id", "tag", "component_id")
     known = sizes.select("doc_id", "tag", "n_shingles").join(linked, ["doc_id", "tag"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     out = rows.filter("_id IS NOT NULL").select(F.col("_id").alias("doc_id"), tag.alias("tag")).join(known, ["doc_id", "tag"])
-    nameless = rows.filter("_id IS NULL").select("_id", tag.alias("_tag"), "_text").mapInArrow(_sets(width), "doc_id long, tag long, elements binary")
-    return out.unionByName(nameless.select("doc_id", "tag", F.expr("length(elements) div 8").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+    nameless = rows.filter("_id IS NULL").select("_id", tag.alias("_tag"), "_text").mapInArrow(_sets(width), "doc_id long, tag long, set_key string, elements array<long>")
+    return out.unionByName(nameless.select("doc_id", "tag", F.size("elements").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
