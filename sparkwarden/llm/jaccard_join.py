@@ -263,16 +263,22 @@ def _open(listed: DataFrame) -> DataFrame:
 def class_links(classes: DataFrame, percent: int = PERCENT, costly: int = COSTLY, rounds: int = ROUNDS) -> DataFrame:
     """Links (a, b) between classes (c, size, elements) that connect all that any links do."""
     signed = classes.select("c", "elements").mapInArrow(_signed(percent), SIGNATURE)
-    lists = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("head")).filter("n > 1")
+    lists = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     listed = written(signed.join(lists, "sig"), "lists")
+    # The text that near copies were made of shares segments with each of them, two copies share fewer: lists are headed by
+    # the class whose own lists are longest in all.
+    score = listed.groupBy("c").agg(F.struct(F.sum("n").alias("s"), (-F.col("c")).alias("c")).alias("score"))
+    scored = listed.join(score, "c")
+    head = scored.groupBy("sig").agg(F.max_by("c", "score").alias("head"))
     # First round: each class with the head that it shares most segments with.
-    best = listed.filter("c <> head").groupBy("c", "head").agg(F.count(F.lit(1)).alias("k")).groupBy("c").agg(F.max(F.struct("k", -F.col("head"))).alias("x"))
-    links = written(_links(best.select(*_ordered(F.col("c"), -F.col("x")["col2"])), classes, percent), "links")
-    rest = written(_open(_labelled(listed.drop("head"), links)), "open_lists")
+    best = listed.join(head, "sig").filter("c <> head").groupBy("c", "head").agg(F.count(F.lit(1)).alias("k")).groupBy("c").agg(F.max_by("head", F.struct("k", -F.col("head"))).alias("head"))
+    links = written(_links(best.select(*_ordered(F.col("c"), F.col("head"))).distinct(), classes, percent), "links")
+    rest = written(_open(_labelled(scored, links)), "open_lists")
     for k in range(rounds):
         # One member of each component in a list, with that of the list's first component.
-        some = rest.groupBy("sig", "comp").agg(F.min_by("c", F.xxhash64("c", F.lit(k))).alias("c"))
-        head = some.groupBy("sig").agg(F.min_by("c", F.xxhash64("comp", F.lit(k))).alias("head"))
+        order = (lambda c: F.col("score")) if k == 0 else (lambda c, k=k: F.xxhash64(c, F.lit(k)))
+        some = rest.groupBy("sig", "comp").agg(F.max_by("c", order("c")).alias("c"), F.max("score").alias("score"))
+        head = some.groupBy("sig").agg(F.max_by("c", order("comp")).alias("head"))
         pairs = some.join(head, "sig").filter("c <> head").select(*_ordered(F.col("c"), F.col("head"))).distinct()
         found = written(_links(pairs, classes, percent), "links")
         if not found.limit(1).count():
