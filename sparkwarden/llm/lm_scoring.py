@@ -1,16 +1,18 @@
-r"""Language-model scores from a log-frequency Bloom filter of quantised n-gram counts, broadcast to the workers.
+r"""Language-model scores from a log-frequency Bloom filter of quantised n-gram counts, in slices.
 
 Spark counts words and pairs of neighbouring words of the training documents (those whose id, as text, has a CRC-32 that
 is not 0 modulo 10). A count c is quantised to level 1 + floor(2 log2 c), and the filter holds (n-gram, 1), ..., (n-gram,
-level): a worker probes levels until one is missing. Every target partition owns a slice of the filter, made where its
+level): levels are probed until one is missing. Every target partition owns a slice of the filter, made where its
 counts are. A word's probability mixes the share of its pair among the pairs of the word before it, and its own share:
-PAIR * c(v w) / c(v) + (1 - PAIR) * (c(w) + 0.1) / (N + 0.1 (V + 1)). Pairs seen once stay out of the filter.
+PAIR * c(v w) / c(v) + (1 - PAIR) * (c(w) + 0.1) / (N + 0.1 (V + 1)). All words and pairs are stored, those seen once too.
 
 The base score needs exact counts. Words of more than one in FREQUENT of all tokens (fewer than FREQUENT words) are sent
 to all workers; the other words of each document meet their counts in their partition.
 
-Size of the filter: it grows with the n-grams, BITS bits for each level of each, up to MAX_FILTER_BYTES. Beyond that the
-least count of stored pairs rises until it fits; words always stay.
+Size of the filter: it grows with the n-grams, BITS bits for each level of each. Its slices of words are broadcast. Those
+of pairs, far more, stay in the shared folder: the distinct pairs of each text are sent to the partition of their slice,
+with the levels of their words, and the sum of their logarithms comes back. Pairs as frequent as FREQUENT words are sent to
+all workers with their counts instead, so that none fills a partition.
 
 Defined cases: null text is empty: its end is its only token. A null id counts as empty text in the split, so such rows
 are held out. Rows that share an id are scored each on its own. Without training tokens no token is known.
@@ -23,6 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +36,14 @@ from .shared import partitions, written
 PAIR = 0.2
 FREQUENT = 1 << 18
 BITS, PROBES = 10, 7
-MAX_FILTER_BYTES = 128 << 20
 LOW = U64((1 << 56) - 1)
 _END, _START = U64(0x1BADB002CAFEF00D), U64(0x0DDBA11C0FFEE123)
 NO_ID = -(1 << 63)
 _WORD, _PAIR = 0, 1
+#: Kinds of packed rows besides packed.py's 0 and 1: totals of words, pairs of texts, filter slices of pairs, sums of texts.
+_TOTALS, _ASKED_PAIRS, _SLICE, _SUMS = 2, 3, 4, 5
+#: In one number: the level of a pair's first word, times this, and the level of its second.
+_LEVELS = 128
 
 
 def held_out(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -90,11 +96,11 @@ def _counted(n: int):
     return run
 
 
-COUNTS = "bucket int, w_keys binary, w_counts binary, p_keys binary, p_counts binary, n_tokens long, n_distinct long, w_levels array<long>, p_levels array<long>"
+COUNTS = "bucket int, w_keys binary, w_counts binary, w_bits binary, p_keys binary, p_counts binary, p_bits binary, n_tokens long, n_distinct long"
 
 
 def _totalled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row of COUNTS for a bucket: totals of its words, and of its pairs that were seen more than once."""
+    """One row of COUNTS for a bucket: totals of its words, its slices of words and pairs, and totals of pairs that may be frequent."""
     own = [b for b in batches if b.num_rows]
     if not own:
         return
@@ -104,12 +110,11 @@ def _totalled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     h, c, kind = e.hashes[0], e.numbers["c"], e.numbers["k"]
     w, wc = _sums(h[kind == _WORD], c[kind == _WORD])
     p, pc_ = _sums(h[kind == _PAIR], c[kind == _PAIR])
-    p, pc_ = p[pc_ > 1], pc_[pc_ > 1]
     words = w != _START & LOW
+    often = pc_ > pc_.sum() / FREQUENT  # of all tokens there are more, so no frequent pair is missed
     binary = lambda x: pa.array([x.tobytes()], pa.binary())
-    hist = lambda x: pa.array([np.bincount(level(x)).tolist()], pa.list_(pa.int64()))
-    cols = [bucket.cast(pa.int32()), binary(w), binary(wc.astype(np.uint32)), binary(p), binary(pc_.astype(np.uint32)), pa.array([int(wc[words].sum())]), pa.array([int(words.sum())]), hist(wc), hist(pc_)]
-    yield pa.RecordBatch.from_arrays(cols, ["bucket", "w_keys", "w_counts", "p_keys", "p_counts", "n_tokens", "n_distinct", "w_levels", "p_levels"])
+    cols = [bucket.cast(pa.int32()), binary(w), binary(wc.astype(np.uint32)), binary(_slice(w, wc, _WORD)), binary(p[often]), binary(pc_[often].astype(np.uint32)), binary(_slice(p, pc_, _PAIR)), pa.array([int(wc[words].sum())]), pa.array([int(words.sum())])]
+    yield pa.RecordBatch.from_arrays(cols, ["bucket", "w_keys", "w_counts", "w_bits", "p_keys", "p_counts", "p_bits", "n_tokens", "n_distinct"])
 
 
 def level(c: np.ndarray) -> np.ndarray:
@@ -141,6 +146,11 @@ def slice_bits(keys: np.ndarray, levels: np.ndarray, kind: np.ndarray, size: int
     return np.packbits(out, bitorder="little")
 
 
+def _slice(keys: np.ndarray, counts: np.ndarray, kind: int) -> np.ndarray:
+    lev = level(counts)
+    return slice_bits(keys, lev, np.full(len(keys), kind), -(-(BITS * int(lev.sum()) + 64) // 64) * 64)
+
+
 class LogFrequencyFilter:
     """All slices: bits, and each slice's first byte and number of bits."""
 
@@ -165,31 +175,13 @@ class LogFrequencyFilter:
         return out
 
 
-def _sliced(least: int):
-    """The filter slice of each bucket: all its words, and pairs from level `least` on."""
+def _often(least: float, kind: str):
+    """Words (kind w) or pairs (kind p) with a count above least."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                keys = [np.frombuffer(r[c], U64) for c in ("w_keys", "p_keys")]
-                lev = [level(np.frombuffer(r[c], np.uint32).astype(np.int64)) for c in ("w_counts", "p_counts")]
-                go = lev[1] >= least
-                keys, lev = [keys[0], keys[1][go]], [lev[0], lev[1][go]]
-                kind = np.repeat([_WORD, _PAIR], [len(k) for k in keys])
-                keys, lev = np.concatenate(keys), np.concatenate(lev)
-                size = -(-(BITS * int(lev.sum()) + 64) // 64) * 64
-                yield pa.RecordBatch.from_arrays([pa.array([r["bucket"]], pa.int32()), pa.array([slice_bits(keys, lev, kind, size).tobytes()], pa.binary())], ["bucket", "bits"])
-
-    return run
-
-
-def _often(least: float):
-    """Words with a count above least."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                keys, counts = np.frombuffer(r["w_keys"], U64), np.frombuffer(r["w_counts"], np.uint32)
+                keys, counts = np.frombuffer(r[f"{kind}_keys"], U64), np.frombuffer(r[f"{kind}_counts"], np.uint32)
                 go = (counts > least) & (keys != _START & LOW)
                 yield pa.RecordBatch.from_arrays([pa.array([r["bucket"]], pa.int32()), pa.array([keys[go].tobytes()], pa.binary()), pa.array([counts[go].tobytes()], pa.binary())], ["bucket", "keys", "counts"])
 
@@ -197,7 +189,7 @@ def _often(least: float):
 
 
 class Frequent:
-    """Exact counts of the frequent words."""
+    """Exact counts of the frequent words or pairs."""
 
     def __init__(self, found: list[tuple[int, bytes, bytes]], n: int):
         keys = [np.frombuffer(k, U64) for _, k, _ in found] or [np.empty(0, U64)]
@@ -208,69 +200,109 @@ class Frequent:
         self.counts = np.concatenate([np.frombuffer(c, np.uint32) for _, _, c in found] or [np.empty(0, np.uint32)])[order].astype(np.int64)
 
     def of(self, h: np.ndarray) -> np.ndarray:
-        """The count of each word, 0 where it is not frequent."""
+        """The count of each, 0 where it is not frequent."""
         if not len(self.keys):
             return np.zeros(len(h), np.int64)
         at = np.minimum(np.searchsorted(self.keys, h & LOW), len(self.keys) - 1)
         return np.where((self.keys[at] == h & LOW) & (self.buckets[at] == packed.bucket_of(h, self.n)), self.counts[at], 0)
 
 
+def _logs(before: np.ndarray, word: np.ndarray, both: np.ndarray, total: float) -> np.ndarray:
+    """Logarithms of probabilities, from the levels of the word before, the word and their pair."""
+    v = value(before)
+    share = np.minimum(1.0, np.divide(value(both), v, out=np.zeros(len(v)), where=v > 0))
+    return np.log10(PAIR * share + (1 - PAIR) * (value(word) + 0.1) / total)
+
+
 def _scored(sent, total: float):
-    """Score, tokens and the exact base score of the frequent words."""
+    """Tokens and the exact base score of the frequent words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, frequent = sent.value
+        _, frequent, _ = sent.value
         for block in blocks(batches, "_text"):
             ids, known = block.ints("_id")
-            h, pair, text = tokens(block)
-            word, at = np.unique(h, return_inverse=True)
-            c = value(model.levels(word, _WORD))[at]
-            two, where = np.unique(pair, return_inverse=True)
-            both = value(model.levels(two, _PAIR))[where]
-            first = np.concatenate([[True], text[1:] != text[:-1]]) if len(text) else np.empty(0, bool)
-            before = np.concatenate([[0.0], c[:-1]])
-            before[first] = value(model.levels(np.array([_START], U64), _WORD))[0]
-            share = np.minimum(1.0, np.divide(both, before, out=np.zeros(len(both)), where=before > 0))
-            logs = np.log10(PAIR * share + (1 - PAIR) * (c + 0.1) / total)
+            h, _, text = tokens(block)
             n_tokens = np.bincount(text, minlength=len(block))
-            exact = frequent.of(word)[at]
+            exact = frequent.of(h)
             base = np.where(exact > 0, np.log10((exact + 0.1) / total), 0.0)
             s = lambda x: np.bincount(text, weights=x, minlength=len(block))
-            cols = [pa.array(np.where(known, ids, NO_ID)), pa.array(block.tags().astype(np.int64)), pa.array(ids, mask=~known), pa.array(held_out(ids, known)), pa.array(n_tokens), pa.array(s(exact > 0).astype(np.int64)), pa.array(s(base)), pa.array(s(logs))]
-            yield pa.RecordBatch.from_arrays(cols, ["_key", "_tag", "doc_id", "held_out", "n_tokens", "f_known", "f_base", "score"])
+            cols = [pa.array(np.where(known, ids, NO_ID)), pa.array(block.tags().astype(np.int64)), pa.array(ids, mask=~known), pa.array(held_out(ids, known)), pa.array(n_tokens), pa.array(s(exact > 0).astype(np.int64)), pa.array(s(base))]
+            yield pa.RecordBatch.from_arrays(cols, ["_key", "_tag", "doc_id", "held_out", "n_tokens", "f_known", "f_base"])
 
     return run
 
 
-def _asked(sent, n: int):
-    """Words of each text that are not frequent."""
+def _distinct(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each hash of each text is first, by text and hash; and how often the text has it."""
+    order = np.argsort(h)
+    order = order[np.argsort(text[order], kind="stable")]
+    h, text = h[order], text[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])])) if len(h) else np.empty(0, np.int64)
+    return order[first], np.diff(np.append(first, len(h)))
+
+
+def _text_sums(n: int, ids: np.ndarray, tags: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sums of texts, dealt by their text; a float travels as two numbers."""
+    halves = sums.astype("<f8").view(np.uint32).reshape(-1, 2)
+    yield from packed.pack(_SUMS, packed.bucket_of(mix(ids.view(U64) ^ tags.astype(U64)), n), np.arange(len(ids)), ids, tags, [], {"c": halves[:, 1], "k": halves[:, 0]}, 1)
+
+
+def _floats(e: packed.Entries) -> np.ndarray:
+    return np.ascontiguousarray(np.stack([e.numbers["k"], e.numbers["c"]], axis=1).astype(np.uint32)).view("<f8").ravel()
+
+
+def _asked(sent, n: int, total: float):
+    """Words and pairs of each text that are not frequent; and sums over its frequent pairs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, frequent = sent.value
+        model, frequent, often = sent.value
+        start = model.levels(np.array([_START], U64), _WORD)[0]
         for block in blocks(batches, "_text"):
             ids, known = block.ints("_id")
             ids, tags = np.where(known, ids, NO_ID), block.tags()
-            h, _, text = tokens(block)
-            rare = frequent.of(h) == 0
-            h, text = h[rare], text[rare]
-            order = np.argsort(h)
-            order = order[np.argsort(text[order], kind="stable")]
-            h, text = h[order], text[order]
-            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])])) if len(h) else np.empty(0, np.int64)
-            times = np.diff(np.append(first, len(h)))
-            h, text = h[first], text[first]
-            yield from packed.pack(0, packed.bucket_of(h, n), text, ids, tags, [h], {"c": times, "k": np.zeros(len(h))})
+            h, pair, text = tokens(block)
+            word, at = np.unique(h, return_inverse=True)
+            lev = model.levels(word, _WORD)[at]
+            before = np.concatenate([[start], lev[:-1]])
+            before[np.concatenate([[True], text[1:] != text[:-1]])] = start
+            count = often.of(pair)
+            here = count > 0
+            logs = np.bincount(text[here], weights=_logs(before[here], lev[here], level(count[here]), total), minlength=len(block))
+            yield from _text_sums(n, ids, tags, logs)
+            away = np.flatnonzero(~here)
+            first, times = _distinct(pair[away], text[away])
+            first = away[first]
+            yield from packed.pack(_ASKED_PAIRS, packed.bucket_of(pair[first], n), text[first], ids, tags, [pair[first]], {"c": times, "k": before[first] * _LEVELS + lev[first]})
+            rare = np.flatnonzero(frequent.of(word)[at] == 0)
+            first, times = _distinct(h[rare], text[rare])
+            first = rare[first]
+            yield from packed.pack(0, packed.bucket_of(h[first], n), text[first], ids, tags, [h[first]], {"c": times, "k": np.zeros(len(first))})
             # How many rows share the id and text: their words are counted together.
             yield from packed.replies(n, ids, tags, {"c": np.full(len(ids), 0), "k": np.ones(len(ids))})
 
     return run
 
 
-def _answered(n: int):
-    """Replies: training count c of a word (0: unknown) and how often the text has it, k."""
+def _of_kind(batches: list[pa.RecordBatch], kind: int) -> list[pa.RecordBatch]:
+    return [b.filter(pc.equal(b.column("kind"), kind)) for b in batches]
+
+
+def _answered(n: int, total: float):
+    """Replies: training count c of a word (0: unknown) and how often the text has it, k. Sums over pairs of texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, rows, totals = packed.unpack(batches, 1, ["c", "k"], more=2)
+        batches = list(batches)
+        sums = packed.unpack(_of_kind(batches, _SUMS), 1, ["c", "k"], more=_SUMS)[2]
+        yield from _text_sums(n, sums.ids, sums.tags, _floats(sums))
+        asked = packed.unpack(_of_kind(batches, _ASKED_PAIRS), 1, ["c", "k"], more=_ASKED_PAIRS)[2]
+        slices = [x for b in _of_kind(batches, _SLICE) for x in b.column("h0").to_pylist()]
+        key, at = np.unique(asked.hashes[0], return_inverse=True)
+        both = LogFrequencyFilter(dict(enumerate(slices)), 1).levels(key, _PAIR)[at]
+        logs = asked.numbers["c"] * _logs(asked.numbers["k"] // _LEVELS, asked.numbers["k"] % _LEVELS, both, total)
+        yield from _text_sums(n, asked.ids, asked.tags, np.bincount(asked.text, weights=logs, minlength=len(asked.ids)))
+        del asked, both, logs
+        batches = [b.filter(pc.less_equal(b.column("kind"), _TOTALS)) for b in batches]
+        e, rows, totals = packed.unpack(batches, 1, ["c", "k"], more=_TOTALS)
         order = np.argsort(totals.hashes[0]) if len(totals.ids) else np.empty(0, np.int64)
         key, count = (totals.hashes[0][order], totals.numbers["c"][order]) if len(order) else (np.empty(0, U64), order)
         c = np.zeros(len(e.text), np.int64)
@@ -287,27 +319,32 @@ def _answered(n: int):
 
 def _summed(total: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, e = packed.unpack(batches, 1, ["c", "k"])
+        _, e, p = packed.unpack(batches, 1, ["c", "k"], more=_SUMS)
         if not len(e.text):
             return
-        ids, tags, c, k = e.ids[e.text], e.tags[e.text], e.numbers["c"], e.numbers["k"]
-        order = np.lexsort((c, tags, ids))
-        ids, tags, c, k = ids[order], tags[order], c[order], k[order]
+        ids, tags = np.concatenate([e.ids[e.text], p.ids]), np.concatenate([e.tags[e.text], p.tags])
+        no, none = np.full(len(p.ids), -1), np.zeros(len(e.text))
+        c, k, x = np.concatenate([e.numbers["c"], no]), np.concatenate([e.numbers["k"], no]), np.concatenate([none, _floats(p)])
+        order = np.lexsort((x, c, tags, ids))
+        ids, tags, c, k, x = ids[order], tags[order], c[order], k[order], x[order]
         first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])]))
         add = lambda x: np.add.reduceat(x, first)
         rows = add(np.where(c == 0, k, 0))
         known, base = add(np.where(c > 1, k, 0)), add(np.where(c > 0, k * np.log10((np.maximum(c, 1) - 1 + 0.1) / total), 0.0))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(tags[first].astype(np.int64)), pa.array(known // rows), pa.array(base / rows)], ["_key", "_tag", "r_known", "r_base"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(tags[first].astype(np.int64)), pa.array(known // rows), pa.array(base / rows), pa.array(add(x) / rows)], ["_key", "_tag", "r_known", "r_base", "score"])
 
     return run
 
 
 def _as_packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word totals as packed entries of kind 2, in their buckets."""
+    """Word totals as packed entries, and the slice of pairs as one row, in their buckets."""
     for b in batches:
         for bucket, keys, counts in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("bucket", "w_keys", "w_counts")), strict=True):
             k = np.frombuffer(keys, U64)
-            yield from packed.pack(2, np.full(len(k), bucket), np.zeros(len(k), np.int64), *_NOBODY, [k], {"c": np.frombuffer(counts, np.uint32), "k": np.zeros(len(k))})
+            yield from packed.pack(_TOTALS, np.full(len(k), bucket), np.zeros(len(k), np.int64), *_NOBODY, [k], {"c": np.frombuffer(counts, np.uint32), "k": np.zeros(len(k))})
+        nothing = pa.array([b""] * b.num_rows, pa.binary())
+        names = [f"{c}{k}" for c in "ck" for k in range(4)]
+        yield pa.RecordBatch.from_arrays([b.column("bucket"), pa.array(np.full(b.num_rows, _SLICE, np.int32)), *[nothing] * 3, b.column("p_bits"), *[nothing] * len(names)], ["bucket", "kind", "ids", "tags", "counts", "h0", *names])
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,20 +357,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     sums = totals.agg(F.sum("n_tokens").alias("n"), F.sum("n_distinct").alias("v")).first()
     n_train, v = sums["n"] or 0, sums["v"] or 0
     total = n_train + 0.1 * (v + 1)
-    # As many rows as there are levels, which grow with the logarithm of a count.
-    levels = [{r["l"]: r["c"] for r in totals.select(F.posexplode(c).alias("l", "c")).groupBy("l").agg(F.sum("c").alias("c")).collect()} for c in ("w_levels", "p_levels")]
-    bits = lambda least: BITS * (sum(k * c for k, c in levels[0].items()) + sum(k * c for k, c in levels[1].items() if k >= least))
-    least = 1
-    while bits(least) > 8 * MAX_FILTER_BYTES and least <= max(levels[1], default=0):
-        least += 1
-    slices = totals.mapInArrow(_sliced(least), "bucket int, bits binary").collect()  # at most MAX_FILTER_BYTES, or what words alone take
-    often = totals.mapInArrow(_often(n_train / FREQUENT), "bucket int, keys binary, counts binary").collect()
-    model = LogFrequencyFilter({r["bucket"]: bytes(r["bits"]) for r in slices}, n)
+    slices = totals.select("bucket", "w_bits").collect()
+    often = [totals.mapInArrow(_often(n_train / FREQUENT, c), "bucket int, keys binary, counts binary").collect() for c in "wp"]
+    model = LogFrequencyFilter({r["bucket"]: bytes(r["w_bits"]) for r in slices}, n)
     del slices
-    sent = spark.sparkContext.broadcast((model, Frequent([(r["bucket"], bytes(r["keys"]), bytes(r["counts"])) for r in often], n)))
-    scored = rows.mapInArrow(_scored(sent, total), "_key long, _tag long, doc_id long, held_out boolean, n_tokens long, f_known long, f_base double, score double")
-    asked = rows.mapInArrow(_asked(sent, n), kind).unionByName(totals.mapInArrow(_as_packed, kind))
-    rest = packed.dealt(packed.dealt(asked).mapInArrow(_answered(n), kind)).mapInArrow(_summed(total), "_key long, _tag long, r_known long, r_base double")
+    sent = spark.sparkContext.broadcast((model, *(Frequent([(r["bucket"], bytes(r["keys"]), bytes(r["counts"])) for r in x], n) for x in often)))
+    scored = rows.mapInArrow(_scored(sent, total), "_key long, _tag long, doc_id long, held_out boolean, n_tokens long, f_known long, f_base double")
+    asked = rows.mapInArrow(_asked(sent, n, total), kind).unionByName(totals.select("bucket", "w_keys", "w_counts", "p_bits").mapInArrow(_as_packed, kind))
+    rest = packed.dealt(packed.dealt(asked).mapInArrow(_answered(n, total), kind)).mapInArrow(_summed(total), "_key long, _tag long, r_known long, r_base double, score double")
     out = scored.join(rest, ["_key", "_tag"])
     return out.select("doc_id", "held_out", "n_tokens", (F.col("f_known") + F.col("r_known")).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), (F.col("f_base") + F.col("r_base")).alias("base_score"), "score")
 

@@ -379,3 +379,28 @@ def test_pages_keep_their_rows(spark):
     rows = [(1, "<p>a", 1), (1, "<p>a", 2), (2, None, 3), (None, "<b>x", 4), (3, "<div>" * 3000 + "deep", 5), (4, "x" * 300_000, 6)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, html string, text int")).collect()
     assert sorted((str(r["page_id"]), r["n_chars"]) for r in got) == sorted([("1", 1), ("1", 1), ("2", 0), ("None", 1), ("3", 4), ("4", 300_000)])
+
+
+@pytest.mark.parametrize("frequent", [1 << 18, 4])
+def test_lm_scores_use_every_pair(spark, docs, rows, monkeypatch, frequent):
+    monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)
+    import numpy as np
+
+    held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 10 == 0
+    one, two = Counter(), Counter()
+    for i, t in rows:
+        if not held(i):
+            w = ["<s>", *words(lower(t or "")), None]
+            one.update(w)
+            two.update(zip(w[:-1], w[1:], strict=True))
+    n, v = sum(one.values()) - one["<s>"], len(one) - 1
+    size = lambda c: float(lm_scoring.value(lm_scoring.level(np.array([c])))[0]) if c else 0.0
+    want = {}
+    for i, t in rows:
+        w = ["<s>", *words(lower(t or "")), None]
+        p = [0.2 * (min(1.0, size(two[a, b]) / size(one[a])) if one[a] else 0.0) + 0.8 * (size(one[b]) + 0.1) / (n + 0.1 * (v + 1)) for a, b in zip(w[:-1], w[1:], strict=True)]
+        want.setdefault((i, len(p)), sum(map(math.log10, p)))
+    got = lm_scoring.score(docs).collect()
+    off = [abs(r["score"] - want[r["doc_id"], r["n_tokens"]]) / r["n_tokens"] for r in got]
+    # The filter may take an n-gram for a more frequent one, in about one of a hundred.
+    assert len(got) == len(rows) and max(off) < 0.1 and sum(off) / len(off) < 0.02
