@@ -81,16 +81,29 @@ ASKED = 1 << 16
 
 
 def _repeats(keys: list[np.ndarray], corpus: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """An order by keys, then by corpus order; and which entries have an equal one before them."""
+    """Which entries have an equal one at an earlier place, in corpus order; and the first of each key.
+
+    The first place may come more than once, from rows that share id and text: none of these is `again`.
+    """
     order = np.lexsort((*corpus[::-1], *keys[::-1]))
-    again = np.zeros(len(order), bool)
+    again, firsts = np.zeros(len(order), bool), order
     if len(order):
-        same = np.ones(len(order) - 1, bool)
-        for k in keys:
-            x = k[order]
-            same &= x[1:] == x[:-1]
-        again[order[1:]] = same
-    return order, again
+        head = np.concatenate([[True], ~_alike(keys, order)])
+        # Of each run of equal entries, those at the place of its first.
+        moved = np.concatenate([[False], ~_alike(corpus, order)]) & ~head
+        moves = np.cumsum(moved)
+        again[order] = moves > moves[np.flatnonzero(head)][np.cumsum(head) - 1]
+        firsts = order[head]
+    return again, firsts
+
+
+def _alike(columns: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+    """Which entries, but the first, equal the one before them in this order."""
+    same = np.ones(len(order) - 1, bool)
+    for c in columns:
+        x = c[order]
+        same &= x[1:] == x[:-1]
+    return same
 
 
 def _crowded(order: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -114,8 +127,7 @@ def _parsed(width: int, gram: int, n: int):
             if not len(text):
                 continue
             tags = block.tags()
-            order, again = _repeats([trigger, whole], [ids[text], tags[text], first])
-            rest = order[~again[order]]
+            again, rest = _repeats([trigger, whole], [ids[text], tags[text], first])
             several = _crowded(rest, trigger)
             # One entry for each trigger of the block.
             t = trigger[rest]
@@ -135,8 +147,8 @@ def _decided(n: int):
         ids, tags, p = e.ids[e.text], e.tags[e.text], e.numbers["p"]
         count, many = e.numbers["n"] % ASKED, e.numbers["n"] >= ASKED
         trigger, whole = e.hashes
-        order, again = _repeats([trigger, whole], [ids, tags, p])
-        several = _crowded(order[~again[order]], trigger)
+        again, rest = _repeats([trigger, whole], [ids, tags, p])
+        several = _crowded(rest, trigger)
         # A trigger with several phrases within one block has several.
         several |= np.isin(trigger, trigger[many])
         told = (again | several) & ~many
@@ -172,7 +184,7 @@ def _strings(width: int, n: int):
                 continue
             at = block.offs[:-1][text] + pos
             h = span_hashes(block.data, at, at + width)
-            _, late = _repeats([h], [ids[text], tags[text], pos])
+            late, _ = _repeats([h], [ids[text], tags[text], pos])
             go = ~late
             yield from packed.pack(0, packed.bucket_of(h[go], n), text[go], ids, tags, [h[go]], {"p": pos[go]})
             yield from packed.replies(n, ids[text[late]], tags[text[late]], {"p": pos[late]})
@@ -184,7 +196,7 @@ def _ordered(n: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, known = packed.unpack(batches, 1, ["p"])
         ids, tags = e.ids[e.text], e.tags[e.text]
-        _, late = _repeats([e.hashes[0]], [ids, tags, e.numbers["p"]])
+        late, _ = _repeats([e.hashes[0]], [ids, tags, e.numbers["p"]])
         yield from packed.replies(n, np.concatenate([known.ids[known.text], ids[late]]), np.concatenate([known.tags[known.text], tags[late]]), {"p": np.concatenate([known.numbers["p"], e.numbers["p"][late]])})
 
     return run

@@ -404,3 +404,15 @@ def test_lm_scores_use_every_pair(spark, docs, rows, monkeypatch, frequent):
     off = [abs(r["score"] - want[r["doc_id"], r["n_tokens"]]) / r["n_tokens"] for r in got]
     # The filter may take an n-gram for a more frequent one, in about one of a hundred.
     assert len(got) == len(rows) and max(off) < 0.1 and sum(off) / len(off) < 0.02
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_byte_dedup_keeps_the_first_holder_of_a_repeated_row(spark, parts):
+    rng = random.Random(parts)
+    say = lambda n: " ".join("w%d" % rng.randrange(900) for _ in range(n))
+    base, other = say(90), say(60)
+    rows = [(1, base), (1, base), (2, "before " + base), (3, other), (3, other), (3, other), (4, other[:150] + say(40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = sorted((r["doc_id"], bytes(r["kept_bytes"]).decode()) for r in byte_dedup.remove_repeated_bytes(df).collect())
+    want = sorted([*rows[:2], (2, "before "), *rows[3:6], (4, rows[6][1][150:])])
+    assert got == want
