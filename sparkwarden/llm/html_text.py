@@ -1,13 +1,14 @@
 """Layout-aware text of HTML pages: a tree with implied tags, and a rendering of all that a reader would see.
 
-The tree builder closes what the markup leaves open (paragraphs before blocks, list items, table rows and cells, options)
-and ignores end tags that match nothing. Hidden are scripts, styles, the head, templates, fallbacks for missing features,
+The tree builder closes what the markup leaves open (the head, paragraphs before blocks, list items, table rows and cells,
+options), opens the rows that cells lack, and ignores end tags that match nothing. Hidden are scripts, styles, the head, templates, fallbacks for missing features,
 elements with the attribute hidden, and those whose style says display: none or visibility: hidden. Blocks stand on lines
 of their own, paragraphs, headings, lists, tables and quotes between blank lines; list items have a mark or number and are
 indented by depth; cells of a table are padded to the width of their column, up to MAX_PAD characters.
 
 Defined cases: null and empty pages give empty text. Text outside any element is shown. A tag or comment that the page
-never closes swallows the rest, as in browsers. Nested tables are shown as text of their cell. Rows that share an id are
+never closes swallows the rest, as in browsers. Nested tables are shown as text of their cell. What stands in a table but in no cell is
+shown before the table. Rows that share an id are
 rendered each on its own; other columns do not take part.
 """
 
@@ -28,8 +29,12 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 #: Their content is text up to their end tag.
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas title datalist".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset".split())
+#: Does not end an open head.
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre xmp figure fieldset".split())
 BLOCK = SPACED | frozenset("address article aside body center dd details dialog div dt figcaption footer form header hgroup hr html legend li main menu nav option section summary tr caption thead tbody tfoot td th".split())
+SECTIONS = frozenset("thead tbody tfoot".split())
+IN_TABLE = SECTIONS | frozenset("caption colgroup col tr td th".split())
 #: A start tag closes open elements of these kinds, up to one of the second set.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -75,17 +80,46 @@ class Node:
         return not self.attrs or (self.attribute("hidden") is None and not INVISIBLE.search(self.attribute("style") or ""))
 
 
+def _to_table(open_: list[Node], tag: str) -> None:
+    """Closes all in an open table that cannot hold a part of this kind; opens the row of a cell. A table in no cell ends the open one."""
+    for k in range(len(open_) - 1, 0, -1):
+        kind = open_[k].tag
+        if tag == "table":
+            if kind in ("td", "th", "caption"):
+                return
+            if kind == "table":
+                del open_[k:]
+                return
+        elif tag in ("td", "th") and kind == "tr":
+            del open_[k + 1 :]
+            return
+        elif kind == "table":
+            keep = tag in ("tr", "td", "th") and k + 1 < len(open_) and open_[k + 1].tag in SECTIONS
+            del open_[k + 1 + keep :]
+            if tag in ("td", "th") and len(open_) < MAX_DEPTH:
+                row = Node("tr")
+                open_[-1].children.append(row)
+                open_.append(row)
+            return
+
+
 def build(page: str) -> Node:
     root = Node("#root")
     open_ = [root]
+
+    def say(text: str) -> None:
+        while open_[-1].tag == "head" and BLANKS.sub("", text):
+            open_.pop()
+        open_[-1].children.append(text)
+
     at, n = 0, len(page)
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
-            open_[-1].children.append(html.unescape(page[at:]))
+            say(html.unescape(page[at:]))
             break
         if lt > at:
-            open_[-1].children.append(html.unescape(page[at:lt]))
+            say(html.unescape(page[at:lt]))
         nxt = page[lt + 1 : lt + 2]
         if nxt in ("!", "?"):
             if page.startswith("<!--", lt):
@@ -96,7 +130,7 @@ def build(page: str) -> Node:
                 at = end + 1 if end >= 0 else n
             continue
         if not (nxt.isalpha() or (nxt == "/" and page[lt + 2 : lt + 3].isalpha())):
-            open_[-1].children.append("<")
+            say("<")
             at = lt + 1
             continue
         m = TAG.match(page, lt)
@@ -112,6 +146,8 @@ def build(page: str) -> Node:
                 if open_[k].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                     break
             continue
+        while open_[-1].tag == "head" and tag not in IN_HEAD:
+            open_.pop()
         if tag in CLOSES_P:
             for k in range(len(open_) - 1, 0, -1):
                 if open_[k].tag == "p":
@@ -129,12 +165,16 @@ def build(page: str) -> Node:
                     last = k
             if last:
                 del open_[last:]
+        if tag == "table" or (tag in IN_TABLE and tag != "col"):
+            _to_table(open_, tag)
         node = Node(tag, m[2])
         open_[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             if tag == "textarea":
                 node.children.append(html.unescape(page[at : end.start() if end else n]))
+            elif tag == "xmp":
+                node.children.append(page[at : end.start() if end else n])
             at = end.start() if end else n
             if end:
                 close_at = page.find(">", at)
@@ -202,12 +242,17 @@ def _marked(node: Node) -> Iterator[tuple[Node, str]]:
             number += 1
 
 
-def _table(node: Node, stats: dict) -> list[str]:
+def _table(node: Node, stats: dict) -> tuple[list[str], list]:
+    """Lines of a table, and what stands in it but in no cell."""
     rows: list[list[str]] = []
-    todo = [c for c in reversed(node.children) if isinstance(c, Node)]
+    strays: list = []
+    todo = list(reversed(node.children))
     caption: list[str] = []
     while todo:
         x = todo.pop()
+        if isinstance(x, str):
+            strays += [x] * bool(BLANKS.sub("", x))
+            continue
         if not x.visible():
             continue
         if x.tag == "tr":
@@ -219,20 +264,26 @@ def _table(node: Node, stats: dict) -> list[str]:
                     cells.append(" ".join(inner.done().split()))
                     span = c.attribute("colspan")
                     cells += [""] * (min(int(span), 100) - 1 if span and re.fullmatch(r"\d{1,3}", span) else 0)
+                elif isinstance(c, str):
+                    strays += [c] * bool(BLANKS.sub("", c))
+                elif c.tag not in ("td", "th"):
+                    strays.append(c)
             if any(cells):
                 rows.append(cells)
         elif x.tag == "caption":
             inner = Writer()
             render(x, inner, stats)
             caption.append(" ".join(inner.done().split()))
+        elif x.tag in IN_TABLE and x.tag not in ("td", "th"):
+            todo += reversed(x.children)
         else:
-            todo += [c for c in reversed(x.children) if isinstance(c, Node)]
+            strays.append(x)
     stats["rows"] += len(rows)
     width = [0] * max(map(len, rows), default=0)
     for r in rows:
         for k, c in enumerate(r):
             width[k] = max(width[k], min(len(c), MAX_PAD))
-    return [c for c in caption if c] + ["  ".join(c.ljust(width[k]) for k, c in enumerate(r)).rstrip() for r in rows]
+    return [c for c in caption if c] + ["  ".join(c.ljust(width[k]) for k, c in enumerate(r)).rstrip() for r in rows], strays
 
 
 def render(root: Node, w: Writer, stats: dict) -> None:
@@ -247,6 +298,12 @@ def render(root: Node, w: Writer, stats: dict) -> None:
                 w.need(value)
             elif kind == "prefix":
                 w.prefix = value
+            elif kind == "table":
+                w.need(2)
+                if value:
+                    stats["blocks"] += 1
+                    w.lines(value)
+                w.need(2)
             else:  # an item's mark: its first line has it, the others are indented
                 deep, mark = value
                 w.need(1)
@@ -260,7 +317,7 @@ def render(root: Node, w: Writer, stats: dict) -> None:
                 w.need(min(w.breaks + 1, 2))
             else:
                 w.need(1)
-        elif x.tag == "pre":
+        elif x.tag in ("pre", "xmp"):
             w.need(2)
             inner: list[str] = []
             stack = list(reversed(x.children))
@@ -278,12 +335,8 @@ def render(root: Node, w: Writer, stats: dict) -> None:
                 w.lines(lines)
             w.need(2)
         elif x.tag == "table":
-            lines = _table(x, stats)
-            w.need(2)
-            if lines:
-                stats["blocks"] += 1
-                w.lines(lines)
-            w.need(2)
+            lines, strays = _table(x, stats)
+            todo += reversed([*strays, ("table", lines)])
         elif x.tag in ("ul", "ol", "menu"):
             before = w.prefix
             edge = 1 if before else 2

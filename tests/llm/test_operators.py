@@ -416,3 +416,25 @@ def test_byte_dedup_keeps_the_first_holder_of_a_repeated_row(spark, parts):
     got = sorted((r["doc_id"], bytes(r["kept_bytes"]).decode()) for r in byte_dedup.remove_repeated_bytes(df).collect())
     want = sorted([*rows[:2], (2, "before "), *rows[3:6], (4, rows[6][1][150:])])
     assert got == want
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<!doctype html><head><title>T</title><p>text", "text"),
+        ("<html><head> <meta charset=utf-8><style>x</style>\n plain", "plain"),
+        ("<head><title>T</title></head>a", "a"),
+        ("<head><noscript><p>x</noscript><script>y</script><body>a", "a"),
+        ("<table><td>a<td>b</table>", "a  b"),
+        ("<table><tbody><th>a<td>b<tr><td>c</table>", "a  b\nc"),
+        ("<table><caption>t<tr><td>a</table>", "t\na"),
+        ("<table>x<tbody>y<tr>z<td>a</table>b", "xyz\n\na\n\nb"),
+        ("<table><tr><div>x</div><td>a<div>b</div></table>", "x\n\na b"),
+        ("<table><form><tr><td>a</form></table>", "a"),
+        ("<table><tr><td>a<table>x<td>b</table><td>c</table>", "ax b  c"),
+        ("<table><td>a<tr><table><td>b</table>", "a\n\nb"),
+        ("a<xmp><b>&amp;\n c</xmp>d", "a\n\n<b>&amp;\n c\n\nd"),
+    ],
+)
+def test_page_text_of_implied_parts(page, text):
+    assert html_text.page_text(page)[0] == text
