@@ -6,8 +6,8 @@ elements with the attribute hidden, and those whose style says display: none or
 of their own, paragraphs, headings, lists, tables and quotes between blank lines; list items have a mark or number and are
 indented by depth; cells of a table are padded to the width of their column, up to MAX_PAD characters.
 
-Defined cases: null and empty pages give empty text. Text outside any element is shown. A tag or comment that the page
-never closes swallows the rest, as in browsers. Nested tables are shown as text of their cell. What stands in a table but in no cell is
+Defined cases: null and empty pages give empty text. Text outside any element is shown. A tag, quoted value or comment that
+the page never closes swallows the rest, as in browsers. Nested tables are shown as text of their cell. What stands in a table but in no cell is
 shown before the table. Rows that share an id are
 rendered each on its own; other columns do not take part.
 """
@@ -54,8 +54,9 @@ CLOSES_P = BLOCK - {"td", "th", "tr", "option", "html", "body", "thead", "tbody"
 #: An open p is not looked for beyond these.
 P_SCOPE = frozenset("table td th caption button object html body".split())
 
-TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+#: Quotes delimit a value directly after = only; elsewhere they are letters.
+TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>))|(?!\s*+=)))*+)>""")
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 INVISIBLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 

@@ -438,3 +438,21 @@ def test_byte_dedup_keeps_the_first_holder_of_a_repeated_row(spark, parts):
 )
 def test_page_text_of_implied_parts(page, text):
     assert html_text.page_text(page)[0] == text
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<a title=don't>b</a> c", "b c"),
+        ("<a href=/o'reilly>b</a> c <i title='x'>d</i>", "b c d"),
+        ("<p class=\"a\"\">b<p class=\"c\">d", "b\n\nd"),
+        ("<p title='a > b'>c", "c"),
+        ("<p title = \"a > b\" hidden>c</p>d", "d"),
+        ("<p =\"a>b", "b"),
+        ("<p title=>b", "b"),
+        ("<p a=b\"hidden\">c</p 'x>d", "c\n\nd"),
+        ("<br/>a<img src=x/>b<p/class='x'hidden>c", "ab"),
+    ],
+)
+def test_page_text_with_stray_quotes(page, text):
+    assert html_text.page_text(page)[0] == text
