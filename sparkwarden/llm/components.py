@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import Tables
 
 
 def _mins(edges: DataFrame) -> DataFrame:
@@ -17,14 +17,16 @@ def components(links: DataFrame) -> DataFrame:
 
     Nodes without links are not in the result. A step holds a row per link; a node's links are never gathered.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
+    tables = Tables(links.sparkSession)
+    edges = tables.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.filter("v > u").join(_mins(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         mins = _mins(down)
         small = down.join(mins, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(mins.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        new = written(small, "stars")
+        new = tables.written(small, "stars")
+        tables.drop(edges)
         # A node without a smaller neighbour heads a star; all links to heads means done.
         more = new.join(new.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
         edges = new

@@ -12,9 +12,11 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one, remembered in the session, where it is unset."""
+    """The folder named in spark.checkpoint.dir; where it is unset, a temporary one on one machine, as in tests."""
     root = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"{SETTING} must name a folder that driver and executors share")
         root = getattr(shared_dir, "_own", None) or tempfile.mkdtemp(prefix="sparkwarden-")
         shared_dir._own = root
     return root.rstrip("/")
@@ -26,9 +28,30 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df as Parquet in the shared folder and reads it back. Lost executors cost a rerun of tasks only."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Tables(df.sparkSession).written(df, name)
+
+
+class Tables:
+    """Tables that one call writes to the shared folder. drop() deletes those that no result needs any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        # Shuffle files of tables already written go when the driver collects its garbage; on a small driver that is too late.
+        self.spark._jvm.System.gc()
+        path = new_path(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes these tables: whatever was made of them must have been written."""
+        for t in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(t))[1]).getParent()
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
