@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from . import packed
 from .arrays import _BASE_BYTES, U64, Block, blocks, mix, powers, span_hashes
-from .shared import IdFilter, partitions, written
+from .shared import IdFilter, partitions, thrifty, written
 
 WIDTH, GRAM = 100, 40
 _SPAN = 1 << 19
@@ -118,6 +118,7 @@ def _crowded(order: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _parsed(width: int, gram: int, n: int):
+    @thrifty
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "_text"):
             text, first, count, trigger, whole = parse(block, width, gram)
@@ -142,6 +143,7 @@ def _parsed(width: int, gram: int, n: int):
 def _decided(n: int):
     """Replies: a phrase is repeated as a whole, or its strings are to be ordered."""
 
+    @thrifty
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, known = packed.unpack(batches, 2, ["p", "n"])
         ids, tags, p = e.ids[e.text], e.tags[e.text], e.numbers["p"]
@@ -158,6 +160,7 @@ def _decided(n: int):
 
 
 def _gathered(hashes: int, numbers: list[str], names: list[str]):
+    @thrifty
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, e = packed.unpack(batches, hashes, numbers)
         if len(e.text):
@@ -169,6 +172,7 @@ def _gathered(hashes: int, numbers: list[str], names: list[str]):
 def _strings(width: int, n: int):
     """The strings of phrases that were asked for, by their keys."""
 
+    @thrifty
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "_text"):
             ids, tags = block.ints("_id")[0], block.ints("_tag")[0].astype(np.uint32)
@@ -193,6 +197,7 @@ def _strings(width: int, n: int):
 
 
 def _ordered(n: int):
+    @thrifty
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, known = packed.unpack(batches, 1, ["p"])
         ids, tags = e.ids[e.text], e.tags[e.text]
@@ -203,6 +208,7 @@ def _ordered(n: int):
 
 
 def _finish(width: int, columns: list[str]):
+    @thrifty
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "_text"):
             rows = block.rows

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import packed
 from .arrays import LOWER, SPACED, U64, Block, blocks, find_words, mix, span_hashes, window_hashes
 from .components import components
-from .shared import IdFilter, Tables, partitions
+from .shared import IdFilter, Tables, partitions, thrifty
 
 WIDTH, PERCENT = 5, 75
 #: Classes in a list beyond which one-deletion neighbourhoods, of some rows for each shingle, cost less than the list.
@@ -64,6 +64,7 @@ def shingle_sets(block: Block, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shingled(width: int, n: int):
+    @thrifty
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "_text", STEP):
             ids, _ = block.ints("_id")
@@ -87,6 +88,7 @@ def _shingled(width: int, n: int):
 
 
 def _counted(n: int):
+    @thrifty
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, known = packed.unpack(batches, 1, ["p", "s"])
         h = e.hashes[0]
@@ -104,6 +106,7 @@ def _counted(n: int):
     return run
 
 
+@thrifty
 def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _, e = packed.unpack(batches, 1, ["p", "s"])
     if len(e.text):
@@ -123,6 +126,7 @@ def set_sizes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def _sets(width: int):
+    @thrifty
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "_text", STEP):
             h, text = shingle_sets(block, width)
@@ -158,6 +162,7 @@ def _runs(h: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 def _sent(n: int):
     """Elements of classes with their places. An element of more than EACH classes of a block goes on once, with their number; all are told of it here."""
 
+    @thrifty
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, h, row in _class_blocks(batches):
             c, tags = np.asarray(rows.column("c")), np.zeros(rows.num_rows, np.uint32)
@@ -178,6 +183,7 @@ def _sent(n: int):
 def _shared(n: int):
     """Replies: places of elements that several classes have, and how many have them."""
 
+    @thrifty
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, known = packed.unpack(batches, 1, ["p", "k"])
         order, first, run_of = _runs(e.hashes[0])
@@ -190,6 +196,7 @@ def _shared(n: int):
     return run
 
 
+@thrifty
 def _places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _, e = packed.unpack(batches, 1, ["p", "k"])
     if len(e.text):
@@ -200,6 +207,7 @@ def _places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _kept(percent: int):
     """Classes that can have links: the elements that other classes have, the number of the others, and the mean count."""
 
+    @thrifty
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c, size, own, mass, elements = [], [], [], [], []
@@ -233,6 +241,7 @@ def _best(h: np.ndarray, mass: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, n
 def _headed(n: int):
     """Elements of classes with the class's mass. Of more than EACH classes of a block the block's head sends it; the others are told of that head."""
 
+    @thrifty
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, h, row in _class_blocks(batches):
             c, tags = np.asarray(rows.column("c")), np.zeros(rows.num_rows, np.uint32)
@@ -250,6 +259,7 @@ def _named_heads(n: int, c: np.ndarray, head: np.ndarray) -> Iterator[pa.RecordB
 
 
 def _heads(n: int):
+    @thrifty
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, known = packed.unpack(batches, 1, ["a", "b"])
         c = e.ids[e.text]
@@ -259,6 +269,7 @@ def _heads(n: int):
     return run
 
 
+@thrifty
 def _most(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The heads of most elements of each class, at most TRIED of them."""
     _, e = packed.unpack(batches, 1, ["a", "b"])
@@ -321,6 +332,7 @@ def _signed(percent: int):
     kinds = [np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, bool]
     names = [x.split(" ")[0] for x in SIGNATURE.split(", ")]
 
+    @thrifty
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: list[list[np.ndarray]] = []
@@ -343,6 +355,7 @@ def _signed(percent: int):
 def _neighbours(percent: int):
     """Of classes in costly lists: whole segments and one-deletion neighbourhoods. turn: the place of a probe among those that make up for costly lists; null: index only."""
 
+    @thrifty
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("elements")

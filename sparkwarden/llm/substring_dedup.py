@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from . import packed
 from .arrays import SPACED, blocks, find_words, runs, span_hashes, window_hashes
-from .shared import IdFilter, partitions, written
+from .shared import IdFilter, partitions, thrifty, written
 
 WIDTH = 50
 
@@ -37,6 +37,7 @@ def first_owner(order: np.ndarray, h: np.ndarray, owner: np.ndarray) -> np.ndarr
 
 
 def _hashed(width: int, n: int):
+    @thrifty
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "_text"):
             w = find_words(block.data, block.offs, SPACED)
@@ -61,6 +62,7 @@ def _hashed(width: int, n: int):
 
 
 def _counted(n: int):
+    @thrifty
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, known = packed.unpack(batches, 1, ["p"])
         h, owner = e.hashes[0], e.ids[e.text]
@@ -72,6 +74,7 @@ def _counted(n: int):
     return run
 
 
+@thrifty
 def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _, e = packed.unpack(batches, 1, ["p"])
     if len(e.text):
@@ -87,6 +90,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _finish(width: int, columns: list[str]):
+    @thrifty
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "_text"):
             rows = block.rows
