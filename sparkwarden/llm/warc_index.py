@@ -1,9 +1,9 @@
 r"""WARC archives of captures, and their index: sorted runs merged by a loser tree into one globally ordered history.
 
-Captures are written as WARC records, several archives side by side, and read back from them. Every archive gives a run of
-index entries sorted by URL key and timestamp. Ranges of the key, cut at quantiles of a bounded sample, are dealt to
-tasks; a task gets its part of every run, each sorted already, and merges them with a k-way loser tree, so the parts
-together are the whole index in order.
+Captures are written as WARC records, several archives side by side, and read back from them. Every batch of an archive's
+captures gives a run of index entries sorted by URL key and timestamp. Ranges of the key, cut at quantiles of a bounded
+sample, are dealt to tasks; a task puts its part of every run, each sorted already, in a scratch file and merges them with
+a k-way loser tree that holds a few entries of each, so the parts together are the whole index in order.
 
 Of captures whose payloads are equal and of at least `REVISIT_BYTES`, the one with the largest id is stored as response,
 the others as revisits that refer to it; smaller payloads are always stored.
@@ -11,8 +11,8 @@ the others as revisits that refer to it; smaller payloads are always stored.
 Archives are written by Spark's text writer with the record end as line separator, so any file system that Spark knows
 will do; each is a gzip file. URL key: host labels reversed, then path and query, in lower case.
 
-Defined cases: a null payload is empty, a null URL is empty. Pages carry no capture time; theirs is EPOCH and page_id
-seconds. Rows that share an id are captures of their own. A null id is written as an empty one and comes back as null;
+Defined cases: a null payload is empty, a null URL is empty; an empty table gives no rows. Pages carry no capture time;
+theirs is EPOCH and page_id seconds, taken modulo SPAN, in UTC whatever the session's time zone. Rows that share an id are captures of their own. A null id is written as an empty one and comes back as null;
 among equal payloads it counts as smallest. Other columns do not take part.
 """
 
@@ -20,6 +20,9 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
+import pickle
+import tempfile
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -32,6 +35,14 @@ from .shared import new_path, partitions, written
 
 REVISIT_BYTES = 1000
 EPOCH = 1_577_836_800  # 2020-01-01T00:00:00Z
+#: Seconds, about 68 years, that capture times made of ids are spread over.
+SPAN = 1 << 31
+#: Copies of each repeated digest in its join, so that a payload that a third of all pages have is dealt to as many tasks.
+SALTS = 32
+#: Records of an archive, so that its file stays far below the 2 GB that one value of Spark can hold.
+ARCHIVE = 20_000
+#: Entries of a run that are in memory at a time.
+CHUNK = 256
 #: Keys in the sample that range borders are taken from.
 SAMPLE = 20_000
 END = "\r\n\r\n"
@@ -54,7 +65,9 @@ def decided(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1(F.col("payload").cast("binary")))
     # Only digests of which there are several take part in the join.
     several = rows.filter(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    rows = rows.join(several, "payload_digest", "left")
+    several = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    rows = salted.join(several, ["payload_digest", "salt"], "left").drop("salt")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.col("payload_bytes") >= REVISIT_BYTES)
     return rows.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first"))).drop("first")
 
@@ -62,7 +75,11 @@ def decided(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
 def record(df: DataFrame) -> Column:
     """The text of a WARC record up to its end mark."""
     uuid = lambda c: F.regexp_replace(F.md5(F.concat(F.lit("page/"), F.coalesce(c.cast("string"), F.lit("")))), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
-    when = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    seconds = F.lit(EPOCH) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(SPAN))
+    of_day = F.pmod(seconds, F.lit(86400))
+    two = lambda c: F.lpad(F.floor(c).cast("string"), 2, "0")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int")).cast("string")
+    when = F.concat(day, F.lit("T"), two(of_day / 3600), F.lit(":"), two(F.pmod(of_day, F.lit(3600)) / 60), F.lit(":"), two(F.pmod(of_day, F.lit(60))), F.lit("Z"))
     http = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8" + END)
     revisit = F.col("record_type") == "revisit"
     body = F.when(revisit, http).otherwise(F.concat(http, "payload"))
@@ -84,9 +101,9 @@ def record(df: DataFrame) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, **columns: str) -> None:
-    """One gzip archive per task in folder path."""
+    """Gzip archives of at most ARCHIVE records in folder path."""
     rows = decided(pages, **columns)
-    rows.select(record(rows).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
+    rows.select(record(rows).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE).text(path)
 
 
 def records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -210,14 +227,38 @@ def _cut(borders: list[str]):
     return run
 
 
+class Runs:
+    """Sorted runs in one scratch file of the task; each is read back a few entries at a time."""
+
+    def __init__(self) -> None:
+        self.file = tempfile.TemporaryFile()
+        self.chunks: list[list[tuple[int, int]]] = []
+
+    def add(self, entries: list[tuple]) -> None:
+        own = []
+        for a in range(0, len(entries), CHUNK):
+            at = self.file.seek(0, 2)
+            own.append((at, self.file.write(pickle.dumps(entries[a : a + CHUNK], 5))))
+        self.chunks.append(own)
+
+    def read(self, run: int) -> Iterator[tuple]:
+        for at, size in self.chunks[run]:
+            self.file.seek(at)
+            yield from pickle.loads(self.file.read(size))
+
+
 def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    runs: dict[int, list] = {}
+    buckets: dict[int, Runs] = {}
     for batch in batches:
-        for bucket, part in zip(batch.column(batch.schema.get_field_index("bucket")).to_pylist(), batch.column(batch.schema.get_field_index("part")).to_pylist(), strict=True):
-            runs.setdefault(bucket, []).append([(e["url_key"], e["captured"], e["page_id"] is not None, e["page_id"] or 0, e["seq"]) for e in part])
-    for bucket in sorted(runs):
-        own = list(LoserTree([iter(r) for r in runs[bucket]]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), bucket, np.int32)), pa.array(np.arange(len(own), dtype=np.int64)), pa.array([e[0] for e in own], pa.string()), pa.array([e[1] for e in own], pa.int64()), pa.array([e[4] for e in own], pa.int64())], ["bucket", "place", "url_key", "captured", "seq"])
+        for bucket, part in zip(batch.column(batch.schema.get_field_index("bucket")), batch.column(batch.schema.get_field_index("part")), strict=True):
+            buckets.setdefault(bucket.as_py(), Runs()).add([(e["url_key"], e["captured"], e["page_id"] is not None, e["page_id"] or 0, e["seq"]) for e in part.as_py()])
+    for bucket in sorted(buckets):
+        runs = buckets.pop(bucket)
+        tree = iter(LoserTree([runs.read(k) for k in range(len(runs.chunks))]))
+        at = 0
+        while own := list(itertools.islice(tree, 8192)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), bucket, np.int32)), pa.array(np.arange(at, at + len(own), dtype=np.int64)), pa.array([e[0] for e in own], pa.string()), pa.array([e[1] for e in own], pa.int64()), pa.array([e[4] for e in own], pa.int64())], ["bucket", "place", "url_key", "captured", "seq"])
+            at += len(own)
 
 
 def merged_index(captures: DataFrame) -> DataFrame:
@@ -262,9 +303,9 @@ WITH p AS (
 ), u AS (
   SELECT page_id, n, d, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END AS url_key FROM k
 )
-SELECT page_id, 1577836800 + page_id AS captured, n AS payload_bytes, u.d AS payload_digest,
+SELECT page_id, 1577836800 + (page_id % 2147483648 + 2147483648) % 2147483648 AS captured, n AS payload_bytes, u.d AS payload_digest,
        CASE WHEN n >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 1000 AND page_id <> first THEN first END AS refers_to,
-       url_key, row_number() OVER (ORDER BY url_key, page_id) - 1 AS index_place
+       url_key, row_number() OVER (ORDER BY url_key, (page_id % 2147483648 + 2147483648) % 2147483648, page_id) - 1 AS index_place
 FROM u LEFT JOIN f ON u.d = f.d
 """
