@@ -141,7 +141,7 @@ def learn(rows: DataFrame) -> list[Rule]:
     Spark finds the cuts and counts rows by the bins they fall into; of these counts there are at most as many as rows in
     the bounded sample.
     """
-    rows = written(rows.coalesce(4), "labelled_statistics").coalesce(1)
+    rows = written(rows, "labelled_statistics").coalesce(1)  # a bounded sample; only its rereading takes one task
     names = list(FEATURES)
     points = [k / CUTS for k in range(1, CUTS)]
     found = rows.agg(*(F.percentile_approx(F.when(F.col("bad") == bad, F.col(f"f_{c}")), points, 10_000).alias(f"{c}_{bad}") for c in names for bad in (True, False))).first()
