@@ -6,16 +6,18 @@ elements with the attribute hidden, and those whose style says display: none or
 of their own, paragraphs, headings, lists, tables and quotes between blank lines; list items have a mark or number and are
 indented by depth; cells of a table are padded to the width of their column, up to MAX_PAD characters.
 
-Defined cases: null and empty pages give empty text. Text outside any element is shown. A tag, quoted value or comment that
-the page never closes swallows the rest, as in browsers. Nested tables are shown as text of their cell. What stands in a table but in no cell is
-shown before the table. Rows that share an id are
-rendered each on its own; other columns do not take part.
+Defined cases: null and empty pages give empty text, an empty table no rows. Text outside any element is shown. A tag, quoted
+value or comment that the page never closes swallows the rest, as in browsers. Nested tables are shown as text of their
+cell, however deep. What stands in a table but in no cell is shown before the table. Pages are rendered whole, of any
+length and depth. Rows that share an id are rendered each on its own; other columns do not take part.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -23,7 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_PAD = 60
-MAX_DEPTH = 400
+#: Characters that items of nested lists are indented by, at most.
+MAX_INDENT = 80
+#: Columns that a cell can span in browsers.
+MAX_SPAN = 1000
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Their content is text up to their end tag.
@@ -81,7 +86,26 @@ class Node:
         return not self.attrs or (self.attribute("hidden") is None and not INVISIBLE.search(self.attribute("style") or ""))
 
 
-def _to_table(open_: list[Node], tag: str) -> None:
+class Open(list):
+    """The open elements, and how many of each kind there are: most tags need not look for one."""
+
+    def __init__(self, root: Node):
+        super().__init__([root])
+        self.kinds: Counter[str] = Counter()
+
+    def push(self, node: Node) -> None:
+        self[-1].children.append(node)
+        self.append(node)
+        self.kinds[node.tag] += 1
+
+    def cut(self, k: int) -> None:
+        """Closes all from place k on."""
+        for node in self[k:]:
+            self.kinds[node.tag] -= 1
+        del self[k:]
+
+
+def _to_table(open_: Open, tag: str) -> None:
     """Closes all in an open table that cannot hold a part of this kind; opens the row of a cell. A table in no cell ends the open one."""
     for k in range(len(open_) - 1, 0, -1):
         kind = open_[k].tag
@@ -89,28 +113,26 @@ def _to_table(open_: list[Node], tag: str) -> None:
             if kind in ("td", "th", "caption"):
                 return
             if kind == "table":
-                del open_[k:]
+                open_.cut(k)
                 return
         elif tag in ("td", "th") and kind == "tr":
-            del open_[k + 1 :]
+            open_.cut(k + 1)
             return
         elif kind == "table":
             keep = tag in ("tr", "td", "th") and k + 1 < len(open_) and open_[k + 1].tag in SECTIONS
-            del open_[k + 1 + keep :]
-            if tag in ("td", "th") and len(open_) < MAX_DEPTH:
-                row = Node("tr")
-                open_[-1].children.append(row)
-                open_.append(row)
+            open_.cut(k + 1 + keep)
+            if tag in ("td", "th"):
+                open_.push(Node("tr"))
             return
 
 
 def build(page: str) -> Node:
     root = Node("#root")
-    open_ = [root]
+    open_ = Open(root)
 
     def say(text: str) -> None:
         while open_[-1].tag == "head" and BLANKS.sub("", text):
-            open_.pop()
+            open_.cut(len(open_) - 1)
         open_[-1].children.append(text)
 
     at, n = 0, len(page)
@@ -140,35 +162,38 @@ def build(page: str) -> Node:
         at = m.end()
         tag = m[1].lower()
         if nxt == "/":
-            for k in range(len(open_) - 1, 0, -1):
+            for k in range(len(open_) - 1, 0, -1) if open_.kinds[tag] > 0 else ():
                 if open_[k].tag == tag:
-                    del open_[k:]
+                    open_.cut(k)
                     break
                 if open_[k].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                     break
             continue
         while open_[-1].tag == "head" and tag not in IN_HEAD:
-            open_.pop()
-        if tag in CLOSES_P:
+            open_.cut(len(open_) - 1)
+        if tag in CLOSES_P and open_.kinds["p"] > 0:
             for k in range(len(open_) - 1, 0, -1):
                 if open_[k].tag == "p":
-                    del open_[k:]
+                    open_.cut(k)
                     break
                 if open_[k].tag in P_SCOPE:
                     break
         if tag in IMPLIED:
             close, stop = IMPLIED[tag]
             last = 0
-            for k in range(len(open_) - 1, 0, -1):
+            for k in range(len(open_) - 1, 0, -1) if any(open_.kinds[x] > 0 for x in close) else ():
                 if open_[k].tag in stop:
                     break
                 if open_[k].tag in close:
                     last = k
             if last:
-                del open_[last:]
-        if tag == "table" or (tag in IN_TABLE and tag != "col"):
+                open_.cut(last)
+        if open_.kinds["table"] > 0 and (tag == "table" or (tag in IN_TABLE and tag != "col")):
             _to_table(open_, tag)
         node = Node(tag, m[2])
+        if tag not in RAW and tag not in VOID:
+            open_.push(node)
+            continue
         open_[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
@@ -180,8 +205,6 @@ def build(page: str) -> Node:
             if end:
                 close_at = page.find(">", at)
                 at = close_at + 1 if close_at >= 0 else n
-        elif tag not in VOID and len(open_) < MAX_DEPTH:
-            open_.append(node)
     return root
 
 
@@ -227,7 +250,7 @@ class Writer:
             self.out.append(line)
 
     def done(self) -> str:
-        return re.sub(r"[ \t]+(?=\n|\Z)", "", "".join(self.out))
+        return "\n".join(x.rstrip(" \t") for x in "".join(self.out).split("\n"))
 
 
 def _marked(node: Node) -> Iterator[tuple[Node, str]]:
@@ -264,7 +287,7 @@ def _table(node: Node, stats: dict) -> tuple[list[str], list]:
                     render(c, inner, stats)
                     cells.append(" ".join(inner.done().split()))
                     span = c.attribute("colspan")
-                    cells += [""] * (min(int(span), 100) - 1 if span and re.fullmatch(r"\d{1,3}", span) else 0)
+                    cells += [""] * (max(0, min(int(span), MAX_SPAN) - 1) if span and re.fullmatch(r"\d{1,9}", span) else 0)
                 elif isinstance(c, str):
                     strays += [c] * bool(BLANKS.sub("", c))
                 elif c.tag not in ("td", "th"):
@@ -307,6 +330,7 @@ def render(root: Node, w: Writer, stats: dict) -> None:
                 w.need(2)
             else:  # an item's mark: its first line has it, the others are indented
                 deep, mark = value
+                deep = deep[:MAX_INDENT]
                 w.need(1)
                 w.prefix = deep + mark
                 w._begin()
@@ -372,6 +396,7 @@ def page_text(page: str | None) -> tuple[str, int, int, int]:
 
 
 def _rendered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))  # a table within a cell takes two calls
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
