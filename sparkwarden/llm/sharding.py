@@ -99,8 +99,11 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     of_bin = [(b, x, int(places[len(large) + i, x])) for i, b in enumerate(names) for x in range(shards)]
     of_large = [(r["h"], r["crc"], r["size"], int(places[i, 0])) for i, r in enumerate(large)]
     to = spark.createDataFrame(of_bin, "bucket int, bin int, shard int")
-    groups = local.join(F.broadcast(to), ["bucket", "bin"]).select("h", "crc", "size", "shard").unionByName(spark.createDataFrame(of_large, "h long, crc long, size long, shard int"))
-    placed = written(rows.join(groups, ["h", "crc", "size"]).select("doc_id", "size", "crc", "shard", "at"), "sharded")
+    groups = local.join(F.broadcast(to), ["bucket", "bin"]).select("h", "crc", "size", "shard")
+    # Rows of heavy groups, fewer than LARGE, meet their shard by broadcast, so that no text is a hot key of the other join.
+    rows = rows.join(F.broadcast(spark.createDataFrame(of_large, "h long, crc long, size long, shard int")), ["h", "crc", "size"], "left")
+    rest = rows.filter("shard IS NULL").drop("shard").join(groups, ["h", "crc", "size"])
+    placed = written(rows.filter("shard IS NOT NULL").unionByName(rest).select("doc_id", "size", "crc", "shard", "at"), "sharded")
     out = ranked(placed, "shard", ["doc_id"], "slot")
     return out.select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
