@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
 Defined cases: a document whose text is null or empty fails the base rules of the first stage and goes. Of rows that share
-an id and a text one stays; of rows that share only the id, all that are no copies stay.
+an id and a text one stays; of rows that share only the id, all that are no copies stay. Texts are taken whole, of any
+length; empty tables give empty results. A row with a null id is linked with nothing and loses no passage. Columns of docs
+come back with their own values, whatever their names; a text that lost a passage has a new n_chars, if docs has that column.
 """
 
 from __future__ import annotations
@@ -18,6 +20,15 @@ from sparkwarden.llm.shared import IdFilter, new_path, written
 ORACLE_SQL = None
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a mark before each column's name, so that no operator's column has the same."""
+    return docs.select(*(F.col(f"`{c}`").alias(f"_c_{c}") for c in docs.columns))
+
+
+def _named(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*(F.col(f"`_c_{c}`").alias(c) for c in docs.columns))
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the rows that gone names by (doc_id, tag), tag being the text's CRC-32. Only rows that may be gone are shuffled."""
     rows = IdFilter(gone, "doc_id").mark(docs, "doc_id", "_maybe")
@@ -30,7 +41,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     rules = quality_rules.learn(quality_rules.labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return quality_rules.judged(docs, rules).filter("kept").select(docs.columns)
+    return _named(quality_rules.judged(_numbered(docs), rules, "_c_text").filter("kept"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +57,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without words in 50-word windows that an earlier document has. Texts that lose none stay as they are."""
-    out = substring_dedup.remove_repeated_windows(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
-    return out.withColumn("text", text).select(docs.columns)
+    out = substring_dedup.remove_repeated_windows(_numbered(docs), "_c_doc_id", "_c_text")
+    cut = F.col("n_removed") > 0
+    if "n_chars" in docs.columns:
+        out = out.withColumn("_c_n_chars", F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("_c_n_chars")))
+    return _named(out.withColumn("_c_text", F.when(cut, F.col("kept_text")).otherwise(F.col("_c_text"))), docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
