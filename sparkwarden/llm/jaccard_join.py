@@ -43,7 +43,7 @@ WIDTH, PERCENT = 5, 75
 #: Classes in a list beyond which one-deletion neighbourhoods, of some rows for each shingle, cost less than the list.
 COSTLY = 2000
 #: Bytes of text, or eighths of elements of sets, that a task takes at a time.
-STEP = 3 << 20
+STEP = 2 << 20
 #: Classes of a block that send a shingle each by itself; of more classes, one sends it for all.
 EACH = 16
 #: Classes that each class is compared with at first, besides its pivot.

@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch while tables are written: whole texts of many rows would be held on both sides of a worker's pipe.
+ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,7 +49,12 @@ class Tables:
         # Shuffle files of tables already written go when the driver collects its garbage; on a small driver that is too late.
         self.spark._jvm.System.gc()
         path = new_path(self.spark, name)
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(BATCH)
+        self.spark.conf.set(BATCH, str(min(int(before), ROWS)) if int(before) > 0 else str(ROWS))
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(BATCH, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = out, path
         return out
