@@ -31,6 +31,11 @@ def line_of_match(content: Column, pattern: str) -> Column:
     return F.when(content.rlike(pattern), F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1)
 
 
+def place_of_match(content: Column, pattern: str) -> Column:
+    """Place of the first match in characters, from 1; null without one."""
+    return F.when(content.rlike(pattern), F.length(F.regexp_extract(content, rf"(?s)^(.*?)(?:{pattern})", 1)) + 1)
+
+
 def line_count(content: Column) -> Column:
     return F.length(content) - F.length(F.replace(content, F.lit("\n"), F.lit(""))) + 1
 
@@ -51,10 +56,31 @@ def redacted(text: Column, most: int = 200) -> Column:
     """One line of text: controls and runs of white space as one space, long encoded runs cut short."""
     flat = F.regexp_replace(text, r"[\x00-\x1F\x7F]", " ")
     flat = F.trim(F.regexp_replace(flat, r"\s+", " "))
-    flat = F.regexp_replace(flat, r"([A-Za-z0-9+/=_-]{24})[A-Za-z0-9+/=_-]{24,}", "$1...")
+    flat = F.regexp_replace(flat, r"([A-Za-z0-9+/=]{24})[A-Za-z0-9+/=]{24,}", "$1...")
     return F.substring(flat, F.lit(1), F.lit(most))
 
 
+# Which marks begin a line that is only a comment, by the kind of file that the name implies.
+COMMENTS = [
+    (r"(?i)\.(js|mjs|cjs|jsx|ts|tsx|mts|cts|go|java|c|h|cc|cpp|cxx|hpp|cs|rs|swift|kt|kts|scala|php|dart|groovy|proto|sol)\z", r"///|//!|//|/\*|\*/|\*"),
+    (r"(?i)\.(bat|cmd)\z", r"@?(?i:rem)|::"),
+    (r"(?i)\.(sql|lua|hs|elm|adb|ads)\z", r"--"),
+    (r"(?i)\.(html|htm|xml|xhtml|svg|vue|svelte|md|markdown)\z", r"<!--|-->"),
+    (r"(?i)\.(sh|bash|zsh|ksh|py|rb|pl|pm|yml|yaml|toml|ini|cfg|conf|tf|tfvars|gradle|nix|ps1|psm1|psd1|dockerfile|mk)\z|(^|/)(Dockerfile|Makefile|GNUmakefile|Gemfile|Rakefile|Vagrantfile|Procfile|\.env[\w.-]*|\.gitignore|\.dockerignore)\z", r"#"),
+]
+OTHER_COMMENTS = r"//|#"
+
+
+def code_text(path: Column, content: Column) -> Column:
+    """content with the lines that hold only a comment blanked, so that a sentence about a deed is not taken for it."""
+    out = blanked_comment_lines(content, OTHER_COMMENTS)
+    for kind, marks in reversed(COMMENTS):
+        # Most files have no such line, and are taken as they are.
+        own = F.when(content.rlike(rf"(?m)^\s*(?:{marks})(?:\s|$)"), blanked_comment_lines(content, marks)).otherwise(content)
+        out = F.when(path.rlike(kind), own).otherwise(out)
+    return out
+
+
 def blanked_comment_lines(content: Column, marker: str) -> Column:
     """Lines that hold only a comment (its marker at the start, then white space or nothing) as blanks of the same length."""
     only = rf"^\s*(?:{marker})(?:\s|$)"

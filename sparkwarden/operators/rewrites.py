@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwarden.operators.selection import PATTERNS, TEST_DIR, VENDORED_DIR
+from sparkwarden.operators.signatures import SIGNATURES
 from sparkwarden.operators.verdicts import severity_rank
 
 # Findings about a file's shape, and weak ones in bundles.
 VENDOR_NOISE = ["hex-obfuscation", "dynamic-code-execution", "base64-blob", "single-line-blob", "encoded-blob-density", "high-entropy-literal", "invisible-characters", "private-use-steganography", "bidi-override", "sandbox-evasion", "download-and-execute"]
-LOW_SPECIFICITY = [x for x in VENDOR_NOISE if x != "sandbox-evasion"] + ["wallet-extension-id", "eval-decoded-blob", "env-dump-exfiltration", "ssh-backdoor", "sandbox-evasion", "obfuscator-io"]
+# Weak in bundles: these, and the signatures that say so of themselves.
+LOW_SPECIFICITY = sorted({*VENDOR_NOISE, *(s.id for s in SIGNATURES if s.bundled)})
 CI_DIR = r"(?i)^(\.docker|docker|\.buildkite|\.github|\.circleci|\.gitlab|ci|\.ci|\.ci-scripts|\.argoci|\.semaphore|\.cirrus|\.travis|\.drone|\.jenkins|\.teamcity|\.azure-pipelines|build_tools)/|^eng/"
 CI_CONFIG = r"(?i)\.ya?ml\z|(^|/)(Jenkinsfile|Makefile)\z"
 INSTALL_EVIDENCE = r"^(lifecycle-script|transitive-install-script|manifest-|lockfile-|npm-alias-mismatch|known-malicious-package|scope-confusion|npmrc-|new-account|empty-org)"

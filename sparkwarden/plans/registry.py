@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from sparkwarden.functions import text as tx
 from sparkwarden.operators import configuration, context, dependencies, grading, rewrites, selection, signatures, verdicts
 from sparkwarden.plans import reports
+from sparkwarden.plans.explanations import explained
 from sparkwarden.sources import carrier
+from sparkwarden.sources.tables import stored
 from sparkwarden.streaming import admission
 
 NOW = "2026-01-01 00:00:00"
@@ -127,35 +129,29 @@ def _re2(pattern: str) -> str:
     return re.sub(r"\(\?<![^)]*\)|\(\?!\w[^)]*\)", "", pattern).replace("'", "''")
 
 
-def _signature_sql() -> str:
-    one = []
-    for s in signatures.SIGNATURES:
-        p = _re2(s.pattern)
-        where = f"regexp_matches(content, '{p}')"
-        if s.least > 1:
-            where = f"len(regexp_extract_all(content, '{p}')) >= {s.least}"
-        if s.distinct > 1:
-            where += f" AND len(list_distinct(list_transform(regexp_extract_all(content, '{p}'), lambda x: lower(x)))) >= {s.distinct}"
-        if s.only:
-            where += f" AND regexp_matches(path, '{_re2(s.only)}')"
-        severity = f"'{s.severity}'"
-        if s.low_unless:
-            severity = f"CASE WHEN regexp_matches(content, '{_re2(s.low_unless)}') THEN {severity} ELSE 'low' END"
-        if s.low_when_all:
-            severity = f"CASE WHEN len(regexp_extract_all(content, '{p}')) = len(regexp_extract_all(content, '{_re2(s.low_when_all)}')) THEN 'low' ELSE {severity} END"
-        line = f"1 + len(regexp_extract(content, '(?s)^(.*?)(?:{p})', 1)) - len(replace(regexp_extract(content, '(?s)^(.*?)(?:{p})', 1), chr(10), ''))"
-        one.append(f"SELECT repo_id, '{s.id}' AS id, {severity} AS severity, path AS file, {line} AS line FROM f WHERE {where}")
-    return f"WITH f AS MATERIALIZED {FILES} " + " UNION ALL ".join(one)
-
-
-@query("signature_scan", _signature_sql())
+# Which signature each sample of the carrier must meet, written down apart from the patterns, and in which files of code.
+SAMPLE_RULES = """(VALUES (1, 'c2-port-fingerprint', 'high', 'all'), (2, 'beavertail-c2-paths', 'high', 'all'), (3, 'backdoor-command-handlers', 'high', 'all'),
+  (5, 'macos-password-phish', 'high', 'all'), (6, 'windows-lolbin-download', 'high', 'all'), (7, 'obfuscator-io', 'medium', 'all'), (8, 'sandbox-evasion', 'low', 'all'),
+  (9, 'sandbox-evasion', 'medium', 'all'), (10, 'tunneling-infra', 'medium', 'all'), (11, 'stealer-file-globbing', 'medium', 'all'), (12, 'spyware-dependency', 'medium', 'all'),
+  (13, 'remote-desktop-rat', 'high', 'all'), (15, 'exfil-sink', 'medium', 'all'), (16, 'startup-persistence', 'medium', 'all'), (18, 'stealer-file-globbing', 'medium', 'all'),
+  (20, 'powershell-encoded-command', 'high', 'all'), (22, 'eval-decoded-blob', 'high', 'interpreted'), (23, 'env-dump-exfiltration', 'high', 'all'),
+  (27, 'c2-port-fingerprint', 'high', 'hash comments'), (28, 'backdoor-command-handlers', 'high', 'slash comments'), (29, 'remote-code-execution', 'high', 'all'),
+  (30, 'env-dump-exfiltration', 'high', 'all'), (31, 'remote-code-execution', 'medium', 'all'), (32, 'dead-drop-resolver', 'medium', 'all'), (33, 'ssh-backdoor', 'high', 'all'),
+  (34, 'ssh-backdoor', 'medium', 'all')) r(sample, id, severity, files)"""
+CODE_FILES = f"""(SELECT *, doc_id % {len(carrier.SNIPPETS)} AS sample, CAST(2 + length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS BIGINT) AS line
+  FROM (SELECT doc_id, text, {carrier.FILE_COLUMNS["repo_id"]} AS repo_id, {carrier.FILE_COLUMNS["path"]} AS path FROM documents) WHERE split_part(path, '.', -1) IN ('js', 'ts', 'py', 'sh', 'go', 'rb'))"""
+
+
+@query("signature_scan", f"""SELECT repo_id, id, severity, path AS file, line FROM {CODE_FILES} f JOIN {SAMPLE_RULES} ON f.sample = r.sample
+  WHERE r.files = 'all' OR (r.files = 'interpreted' AND path NOT LIKE '%.go') OR (r.files = 'hash comments' AND split_part(path, '.', -1) IN ('py', 'sh', 'rb')) OR (r.files = 'slash comments' AND split_part(path, '.', -1) IN ('js', 'ts', 'go'))""")
 def signature_scan(spark, d):
     return signatures.signature_findings(files(spark, d)).select("repo_id", "id", "severity", "file", F.col("line").cast("long").alias("line"))
 
 
-@query("wallet_files", "SELECT repo_id, file, labels[1] AS label, len(labels) AS targets FROM (SELECT repo_id, path AS file, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(content, '{_re2(p)}') THEN '{v}' END" for p, v in signatures.WALLET_PATHS) + f"], lambda x: x IS NOT NULL) AS labels FROM {FILES} f) WHERE len(labels) > 0")
+@query("wallet_files", f"""SELECT repo_id, path AS file, CASE sample WHEN 19 THEN 'wallet file' ELSE 'saved passwords of a browser' END AS label, CASE sample WHEN 19 THEN 1 ELSE 2 END::BIGINT AS targets,
+  CASE sample WHEN 19 THEN 'medium' ELSE 'low' END AS severity, line FROM {CODE_FILES} f WHERE sample IN (19, 26)""")
 def wallet_files(spark, d):
-    return signatures.wallet_files(files(spark, d)).withColumn("targets", F.col("targets").cast("long"))
+    return signatures.wallet_files(files(spark, d)).withColumn("targets", F.col("targets").cast("long")).withColumn("line", F.col("line").cast("long"))
 
 
 @query("entropy_titles", f"SELECT p_partkey, CAST(floor(entropy(c) * 1e6 + 0.5) AS BIGINT) AS micro_bits FROM (SELECT p_partkey, unnest(string_split(p_name, '')) AS c FROM part) GROUP BY p_partkey")
@@ -381,12 +377,32 @@ def agent_instructions(spark, d):
 
 
 def scanned(spark, d) -> tuple[DataFrame, DataFrame]:
-    """All findings over the carrier's repositories, rewritten, and the verdicts."""
-    f = files(spark, d)
-    found = signatures.signature_findings(f).drop("snippet").unionByName(signatures.blob_findings(f))
-    found = rewrites.by_path(found.withColumn("executable", F.lit(False)))
-    found = rewrites.corroborated(rewrites.with_payload_in_config(found))
-    return found, verdicts.decide(found, f.select("repo_id"))
+    """All findings over the carrier's repositories, of all families of rules, rewritten and explained; and the verdicts.
+
+    The files are searched once and what was found, far less, is stored: rewrites, verdicts and reports read that table.
+    """
+    f = files(spark, d).unionByName(carrier.table(spark, d, "customer", carrier.CONFIG_COLUMNS))
+    m = meta(spark, d)
+    families = [
+        signatures.signature_findings(f),
+        signatures.blob_findings(f),
+        signatures.wallet_files(f).withColumn("id", F.lit("wallet-file-access")),
+        configuration.file_findings(f),
+        configuration.line_findings(f),
+        configuration.instruction_findings(f, selection.PATTERNS["instructions"]),
+        context.context_findings(m, NOW),
+        dependencies.name_findings(carrier.table(spark, d, "orders", carrier.DEPENDENCY_COLUMNS)),
+        dependencies.resolution_findings(carrier.table(spark, d, "orders", carrier.ENTRY_COLUMNS)),
+    ]
+    columns = {"repo_id": "int", "id": "string", "severity": "string", "file": "string", "line": "int", "snippet": "string"}
+    found = None
+    for own in families:
+        own = own.select(*((F.col(c) if c in own.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()))
+        found = own if found is None else found.unionByName(own)
+    found = stored(rewrites.by_path(found.withColumn("executable", F.lit(False))), "findings")
+    found = explained(rewrites.corroborated(rewrites.with_payload_in_config(found))).fillna("", ["snippet"])
+    repositories_ = f.select("repo_id").unionByName(m.select("repo_id")).unionByName(found.select("repo_id"))
+    return found, verdicts.decide(found, repositories_)
 
 
 @query("scan")

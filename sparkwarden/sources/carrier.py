@@ -11,7 +11,7 @@ def _case(key: str, values: list[str]) -> str:
 
 PATHS = ["index.js", "src/app.js", "src/lib/util.ts", "tests/app.test.js", "vendor/lib.js", "setup.py", "next.config.js", "dist/bundle.js", ".github/workflows/ci.yml", "ci/install.sh", "README.md", "package.json", "docs/guide.md", "src/server.py", "examples/demo.js", "webpack.config.js", "tools/release.sh", "src/appTest.js", "yarn.lock", "CLAUDE.md", "notebooks/a.ipynb", "Dockerfile", "src/deep/er/x.go", "lib/y.rb"]
 # Inert samples: hosts of documentation ranges, nothing that runs.
-SNIPPETS = ["const a = 1;", "connect 192.0.2.7:1244 now", "post to /api/service/token here", "ssh_cmd then ssh_run and ssh_cmd", "ssh_cmd only ssh_cmd", "display dialog text with hidden answer", "certutil -urlcache -f x", "while (!![]) { }", "qemu and vmware", "qemu with dmidecode and vmware", "use localtunnel", "readdirSync( wallet )", "require node-global-key-listener", "anydesk --silent", "hello world", "send to webhook.site please", "systemctl enable thing", "plain text", "glob for seed phrase", "cp wallet.dat away", "powershell -enc QUJDREVGR0hJSktMTU5PUFFSU1Q=", "nothing here", "x eval( atob( y ) )", "JSON.stringify( process.env )", "done", "more text", "Login Data and .ssh/id_rsa"]
+SNIPPETS = ["const a = 1;", "connect 192.0.2.7:1244 now", "post to /api/service/token here", "ssh_cmd then ssh_run and ssh_cmd", "ssh_cmd only ssh_cmd", "display dialog text with hidden answer", "certutil -urlcache -f x", "while (!![]) { }", "qemu and vmware", "qemu with dmidecode and vmware", "use localtunnel", "readdirSync( wallet )", "require node-global-key-listener", "anydesk --silent", "hello world", "send to webhook.site please", "systemctl enable thing", "plain text", "glob for seed phrase", "cp wallet.dat away", "powershell -enc QUJDREVGR0hJSktMTU5PUFFSU1Q=", "nothing here", "x eval( atob( y ) )", "JSON.stringify( process.env )", "done", "more text", "Login Data and .ssh/id_rsa", "// connect 192.0.2.7:1244 now", "# ssh_cmd then ssh_run", "new Function(\"require\", \"x\")", "requests.post(u, data=os.environ)", "new Function(\"require\", \"return require(x)\")", "sync https://docs.google.com/document/d/abc/export?format=txt", "echo x >> ~/.ssh/authorized_keys", "taskkill /f /im chrome.exe"]
 REPOSITORIES = 61
 
 FILE_COLUMNS = {

@@ -1,0 +1,63 @@
+"""Routing, comment lines and softened cases of the signature rules."""
+
+import duckdb
+import pytest
+
+from sparkwarden.operators import signatures
+from sparkwarden.plans import explanations, registry
+
+FILE = "repo_id int, path string, content string"
+
+
+@pytest.mark.parametrize(
+    "path,content,want",
+    [
+        ("README.md", "it connects to 192.0.2.7:1244", set()),
+        ("a.js", "  // posts to /api/service/token", set()),
+        ("a.js", "x(); // posts to /api/service/token", {("beavertail-c2-paths", "high")}),
+        ("a.py", "# posts to /api/service/token\nx", set()),
+        ("a.py", "#!posts to /api/service/token", {("beavertail-c2-paths", "high")}),
+        ("x.go", "eval(atob(y))", set()),
+        ("x.rb", "eval(atob(y))", {("eval-decoded-blob", "high")}),
+        ("x.js", "new Function('require', x)", {("remote-code-execution", "high")}),
+        ("x.js", "new Function('require', 'module', 'exports', x)", set()),
+        ("x.py", "requests.post(u, data=os.environ)", {("env-dump-exfiltration", "high")}),
+        ("x.py", "data = os.environ['HOME']", set()),
+        ("x.sh", "echo key >> ~/.ssh/authorized_keys", {("ssh-backdoor", "high")}),
+        ("x.sh", "adb shell 'echo k >> /data/.ssh/authorized_keys'", {("ssh-backdoor", "medium")}),
+        ("x.bat", "taskkill /f /im chrome.exe", {("ssh-backdoor", "medium")}),
+        ("x.bat", "taskkill /f /im chrome.exe\ncopy \"Login Data\" x", {("ssh-backdoor", "high")}),
+        ("x.sh", "systemctl enable /opt/x.service", {("startup-persistence", "high"), ("startup-persistence", "medium")}),
+        ("x.sh", "crontab -r", set()),
+        ("x.sh", "echo 'node ~/.x.js' >> ~/.bashrc", {("startup-persistence", "high")}),
+        ("x.sh", "echo 'export A=1' >> ~/.bashrc", set()),
+        ("x.js", "fetch('https://discord.com/api/webhooks/${id}')", {("exfil-sink", "low")}),
+        ("x.js", "u = 'https://discord.com/api/webhooks/1/abc'", {("exfil-sink", "medium")}),
+        ("x.js", "id = 'nkbihfbeogaeaoehlefnkodbefgpgknn'", {("wallet-extension-id", "high")}),
+        ("x.js", None, set()),
+        ("x.js", "", set()),
+    ],
+)
+def test_signature_cases(spark, path, content, want):
+    got = {(r["id"], r["severity"]) for r in signatures.signature_findings(spark.createDataFrame([(1, path, content)], FILE)).collect()}
+    assert got == want
+
+
+def test_wallet_severities(spark):
+    rows = [(1, "a.js", "Login Data"), (2, "a.js", "open('wallet.dat')"), (3, "a.js", "readFile('Login Data', 'Web Data', 'Local State')"), (4, "a.md", "wallet.dat"), (5, "a.sh", "x ~/.gnupg/gpg.conf")]
+    got = {(r["repo_id"], r["targets"], r["severity"]) for r in signatures.wallet_files(spark.createDataFrame(rows, FILE)).collect()}
+    assert got == {(1, 1, "low"), (2, 1, "medium"), (3, 3, "high")}
+
+
+@pytest.mark.parametrize("name", ["signature_scan", "wallet_files"])
+def test_samples(spark, duck, small, same, name):
+    assert same(registry.queries()[name](spark, small), duck, registry.oracle_sql()[name])
+
+
+def test_scan_joins_all_families(spark, small):
+    found, verdict = registry.scanned(spark, small)
+    ids = {r["id"] for r in found.select("id").distinct().collect()}
+    assert {"c2-port-fingerprint", "agent-instruction-file", "known-malicious-package", "lockfile-off-registry", "new-account", "wallet-file-access"} <= ids
+    assert not ids - set(explanations.EXPLANATIONS)
+    assert found.filter("length(why) <= 40 OR length(next) <= 10 OR why IS NULL").count() == 0
+    assert verdict.count() == verdict.select("repo_id").distinct().count()
