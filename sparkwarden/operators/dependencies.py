@@ -7,10 +7,21 @@ from pyspark.sql import functions as F
 
 from sparkwarden.functions.text import host_of, one_edit_apart
 
-# Names known to be malicious (exact), a short list of much used names and scopes. Pass longer ones as parameters.
-MALICIOUS = ["crossenv", "cross-env.js", "loadash", "lodahs", "electorn", "expresss", "axois", "mongose", "reactt", "babelcli", "node-fetchs", "web3-essential", "main-util-validation", "dotevn", "boby-parser", "vaildator", "truffel", "ethres.js"]
+# Names that were removed from the registry as malware.
+MALICIOUS = [
+    "require", "crossenv", "cross-env.js", "loadash", "lodahs", "electorn", "expresss", "axois", "mongose", "reactt", "babelcli", "node-fetchs", "node-fetch2", "web3-essential", "ethers-provider2", "ethers-providerz", "solana-web3js",
+    "discordjs-api", "sync-request-legacy", "main-util-validation", "node-nvm-ssh", "passports-js", "bcrypts-js", "blockscan-api", "metamask-api", "react-router-html", "react-redirect-router", "vite-plugin-react-ping", "vvite-plugin-react",
+    "webpack-css-branch-loader", "nodemailer-helper", "nodemon-pkg", "http-helmet", "morgan-logger", "dotevn", "boby-parser", "boby_parser", "vaildator", "truffel", "ganacche", "foudry", "epxres", "epxreso", "we3.js", "wb3.js", "ethres.js", "ethes.js",
+]
+#: A short list of much used names; a longer one, such as the registry's own ranking, is passed as parameter.
 POPULAR = ["lodash", "react", "react-dom", "chalk", "commander", "express", "axios", "moment", "uuid", "yargs", "glob", "dotenv", "webpack", "typescript", "eslint", "jest", "mocha", "nodemon", "body-parser", "mongoose", "validator", "ethers", "web3", "next", "vite", "zod", "cli-table"]
-SCOPES = ["@types", "@babel", "@angular", "@vue", "@mui", "@nestjs", "@next", "@solana", "@metamask", "@stripe"]
+# Scopes that are trusted as such, and scopes one letter from them that are their own.
+SCOPES = [
+    "@types", "@babel", "@angular", "@vue", "@aws-sdk", "@azure", "@google-cloud", "@typescript-eslint", "@eslint", "@jest", "@testing-library", "@storybook", "@emotion", "@mui", "@material-ui", "@chakra-ui", "@radix-ui", "@headlessui",
+    "@heroicons", "@fortawesome", "@tailwindcss", "@nestjs", "@next", "@sveltejs", "@remix-run", "@tanstack", "@reduxjs", "@apollo", "@graphql", "@octokit", "@sentry", "@prisma", "@swc", "@esbuild", "@rollup", "@vitejs",
+    "@playwright", "@cypress", "@docusaurus", "@expo", "@react-native", "@react-navigation", "@solana", "@ethersproject", "@openzeppelin", "@polkadot", "@walletconnect", "@metamask", "@shopify", "@stripe", "@slack",
+    "@discordjs", "@actions", "@npmcli", "@commitlint", "@changesets", "@opentelemetry", "@smithy", "@firebase", "@supabase", "@trpc", "@clerk", "@nuxtjs", "@nuxt", "@mux", "@vercel", "@astrojs", "@sanity", "@datadog",
+]
 KNOWN_SCOPES = ["@mdi", "@mdn", "@bazel", "@graphiql", "@vinejs"]
 # Hosts of registries.
 REGISTRY_HOSTS = ["registry.npmjs.org", "registry.yarnpkg.com", "npm.jsr.io", "registry.npmmirror.com", "registry.npm.taobao.org", "registry.npmjs.com", "registry.nlark.com", "mirrors.cloud.tencent.com", "mirrors.tencent.com", "registry.npmmirror.org", "r.cnpmjs.org", "registry.cnpmjs.org"]
@@ -19,8 +30,14 @@ OFFICIAL_TARBALL_HOSTS = ["cdn.sheetjs.com"]
 HOSTED_FEED = r"(?i)(^|\.)pkgs\.dev\.azure\.com\z|\.pkgs\.visualstudio\.com\z|\.jfrog\.io\z|^npm\.pkg\.github\.com\z|^npm\.cloudsmith\.io\z|^gitlab\.com\z"
 INTERNAL_HOST = r"(?i)\.(local|internal|corp|lan|intranet|home)\z|^localhost\z|^127\.|^10\.|^192\.168\.|^172\.(1[6-9]|2\d|3[01])\."
 GIT_HOST = r"(?i)(^|\.)(github\.com|gitlab\.com|bitbucket\.org)\z"
-INSTALL_SCRIPT_NAMES = ["esbuild", "sharp", "puppeteer", "playwright", "cypress", "node-sass", "sqlite3", "bcrypt", "fsevents", "core-js", "canvas", "husky", "electron", "node-gyp", "nodemon", "argon2"]
-INSTALL_SCRIPT_PREFIXES = ["@esbuild/", "@swc/", "@sentry/", "@parcel/", "@prisma/", "@img/", "esbuild-", "turbo-", "workerd-"]
+# Packages known to build or fetch something when they are installed.
+INSTALL_SCRIPT_NAMES = [
+    "esbuild", "sharp", "puppeteer", "playwright", "cypress", "node-sass", "sqlite3", "better-sqlite3", "bcrypt", "fsevents", "core-js", "core-js-pure", "canvas", "grpc", "husky", "sentry-cli", "electron", "node-gyp",
+    "prebuild-install", "node-pre-gyp", "cwebp-bin", "mozjpeg", "pngquant-bin", "gifsicle", "optipng-bin", "phantomjs-prebuilt", "chromedriver", "geckodriver", "protobufjs", "nodemon", "workerd", "argon2", "keytar",
+    "leveldown", "re2", "swc", "dtrace-provider", "unix-dgram", "bufferutil", "utf-8-validate", "msgpackr-extract", "ssh2", "cpu-features", "iltorb", "deasync", "libpq", "zeromq", "serialport", "usb", "spawn-sync", "es5-ext",
+    "nx", "dprint", "@vscode/vsce-sign", "@apollo/protobufjs", "playwright-chromium", "playwright-firefox", "playwright-webkit", "unrs-resolver", "vue-demi", "mongodb-memory-server", "@fortawesome/fontawesome-free", "yarn",
+]
+INSTALL_SCRIPT_PREFIXES = ["@esbuild/", "@swc/", "@sentry/", "@parcel/", "@prisma/", "@img/", "@napi-rs/", "@node-rs/", "esbuild-", "turbo-", "workerd-", "@playwright/", "@serialport/"]
 
 
 def name_findings(deps: DataFrame, popular: list[str] = POPULAR, malicious: list[str] = MALICIOUS, scopes: list[str] = SCOPES) -> DataFrame:

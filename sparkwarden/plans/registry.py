@@ -80,9 +80,17 @@ def decide_verdict(spark, d):
 ORDERED = f"row_number() OVER (PARTITION BY repo_id ORDER BY {RANK} DESC, file, coalesce(line, 0), id, seq)"
 
 
-@query("sorted_findings_top", f"SELECT repo_id, place, id, severity, file, line FROM (SELECT *, {ORDERED} AS place FROM {FINDINGS} f) WHERE place <= 30")
+# Fewer repositories with more findings each, so that the cap of a report counts.
+CROWDED = f"(SELECT * REPLACE (repo_id % 30 AS repo_id) FROM {FINDINGS} f)"
+
+
+def crowded(spark, d):
+    return findings(spark, d).withColumn("repo_id", F.col("repo_id") % 30)
+
+
+@query("sorted_findings_top", f"SELECT repo_id, place, id, severity, file, line FROM (SELECT *, {ORDERED} AS place FROM {CROWDED} f) WHERE place <= {verdicts.REPORTED}")
 def sorted_findings_top(spark, d):
-    return verdicts.reported(findings(spark, d), 30, "seq").select("repo_id", F.col("place").cast("long").alias("place"), "id", "severity", "file", "line")
+    return verdicts.reported(crowded(spark, d), verdicts.REPORTED, "seq").select("repo_id", F.col("place").cast("long").alias("place"), "id", "severity", "file", "line")
 
 
 @query("severity_tally", f"SELECT repo_id, count(*) AS findings, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM {FINDINGS} f GROUP BY repo_id")
@@ -90,9 +98,9 @@ def severity_tally(spark, d):
     return verdicts.tallies(findings(spark, d))
 
 
-@query("hidden_kinds", f"SELECT repo_id, string_agg(DISTINCT id, ',' ORDER BY id) AS hidden, count(*) AS n_hidden FROM (SELECT *, {ORDERED} AS place FROM {FINDINGS} f) WHERE place > 30 GROUP BY repo_id")
+@query("hidden_kinds", f"SELECT repo_id, string_agg(DISTINCT id, ',' ORDER BY id) AS hidden, count(*) AS n_hidden FROM (SELECT *, {ORDERED} AS place FROM {CROWDED} f) WHERE place > {verdicts.REPORTED} GROUP BY repo_id")
 def hidden_kinds(spark, d):
-    return verdicts.hidden_kinds(findings(spark, d), 30, "seq")
+    return verdicts.hidden_kinds(crowded(spark, d), verdicts.REPORTED, "seq")
 
 
 @query(
@@ -220,11 +228,11 @@ def select_files(spark, d):
     return selection.selected_files(t).withColumn("position", F.col("position").cast("long"))
 
 
-@query("byte_budget", f"SELECT repo_id, position, n, before FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY repo_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM (SELECT repo_id, doc_id AS position, length(content) AS n FROM (SELECT doc_id, * FROM (SELECT doc_id, {', '.join(f'{e} AS {c}' for c, e in carrier.FILE_COLUMNS.items())} FROM documents)))) WHERE before < 20000")
+@query("byte_budget", f"SELECT repo_id, position, n, before FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY repo_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM (SELECT repo_id % 2 AS repo_id, doc_id AS position, 10 * length(content) AS n FROM (SELECT doc_id, * FROM (SELECT doc_id, {', '.join(f'{e} AS {c}' for c, e in carrier.FILE_COLUMNS.items())} FROM documents)))) WHERE before < {selection.MAX_TOTAL_CHARS}")
 def byte_budget(spark, d):
     columns = {"position": "doc_id"} | carrier.FILE_COLUMNS
-    f = carrier.table(spark, d, "documents", columns).select("repo_id", "position", F.length("content").cast("long").alias("n"))
-    return selection.within_budget(f, 20_000, "n").select("repo_id", "position", "n", "before")
+    f = carrier.table(spark, d, "documents", columns).select((F.col("repo_id") % 2).alias("repo_id"), "position", (10 * F.length("content")).cast("long").alias("n"))
+    return selection.within_budget(f, selection.MAX_TOTAL_CHARS, "n").select("repo_id", "position", "n", "before")
 
 
 @query("follow_references", f"""WITH t AS {TREE}, r AS (SELECT DISTINCT repo_id, path AS from_path, CASE ord % 3 WHEN 0 THEN 'app.js' WHEN 1 THEN 'src/app.js' ELSE 'none.js' END AS rel FROM t),

@@ -24,19 +24,24 @@ def test_query_runs(spark, small, name):
 
 
 def test_entry_imports_without_the_optional_part(monkeypatch):
-    import builtins
     import importlib
     import sys
 
-    real = builtins.__import__
-
-    def without(name, *args, **kw):
-        if name.startswith("corpus_pipeline") or name == "sparkwarden.llm" or (name == "sparkwarden.llm" or (args and len(args) > 2 and args[2] and "registry" in args[2] and name.endswith("llm"))):
-            raise ImportError(name)
-        return real(name, *args, **kw)
-
-    monkeypatch.setattr(builtins, "__import__", without)
+    for name in ("sparkwarden.llm.registry", "corpus_pipeline"):
+        monkeypatch.setitem(sys.modules, name, None)
     sys.modules.pop("__spark_entry__", None)
     entry = importlib.import_module("__spark_entry__")
     assert "decide_verdict" in entry.queries() and not any(x.startswith("op") for x in entry.queries())
     sys.modules.pop("__spark_entry__", None)
+
+
+def test_entry_does_not_hide_a_broken_import(monkeypatch):
+    import importlib
+    import sys
+
+    import __spark_entry__ as entry
+
+    monkeypatch.setattr(importlib, "import_module", lambda name: (_ for _ in ()).throw(ModuleNotFoundError("x", name="numpy")))
+    with pytest.raises(ModuleNotFoundError):
+        entry._optional("sparkwarden.llm.registry")
+    sys.modules.pop("__spark_entry__", None)
