@@ -325,11 +325,11 @@ def _named(sums: np.ndarray, segment: np.ndarray, scheme: int, size: np.ndarray)
     return mix(sums ^ mix(segment.astype(U64) * U64(1 << 20) + U64(scheme * 4 + 1)) ^ mix(size.astype(U64) + U64(0x9E37))).view(np.int64)
 
 
-SIGNATURE = "sig long, c long, comp long, scheme int, segment int, listed int, need int, sparse boolean"
+SIGNATURE = "sig long, c long, comp long, scheme int, segment int, listed int, need int, sparse boolean, band int"
 
 
 def _signed(percent: int):
-    kinds = [np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, bool]
+    kinds = [np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, bool, np.int32]
     names = [x.split(" ")[0] for x in SIGNATURE.split(", ")]
 
     @thrifty
@@ -344,7 +344,7 @@ def _signed(percent: int):
                     s = Segments(values[at[i] : at[i + 1]], size, scheme, percent)
                     if not s.alone and s.need > 0:
                         seg = np.flatnonzero(s.listed)
-                        held.append([_named(s.sums[seg], seg, scheme, s.sizes[seg]), *(np.full(len(seg), x) for x in (c, comp, scheme)), seg, *(np.full(len(seg), x) for x in (len(seg), s.need, s.sparse))])
+                        held.append([_named(s.sums[seg], seg, scheme, s.sizes[seg]), *(np.full(len(seg), x) for x in (c, comp, scheme)), seg, *(np.full(len(seg), x) for x in (len(seg), s.need, s.sparse, band))])
                 if len(held) >= FLUSH or (held and i == batch.num_rows - 1):
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(k)) for x, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
                     held = []
@@ -443,22 +443,25 @@ def class_links(classes: DataFrame, percent: int = PERCENT, costly: int = COSTLY
     return out
 
 
-SIDE = ["c", "comp", "size", "own", "members", "pivot", "apart", "sparse"]
+SIDE = ["c", "comp", "size", "own", "members", "pivot", "apart", "sparse", "band"]
 
 
 def _sides(probes: DataFrame, others: DataFrame, extra: list[str], more: list[str]) -> tuple[DataFrame, DataFrame]:
-    return probes.select("sig", *(F.col(c).alias(f"a_{c}") for c in SIDE + extra)), others.select("sig", *(F.col(c).alias(f"b_{c}") for c in SIDE + more))
+    return probes.select("sig", F.col("scheme").alias("a_scheme"), *(F.col(c).alias(f"a_{c}") for c in SIDE + extra)), others.select("sig", *(F.col(c).alias(f"b_{c}") for c in SIDE + more))
 
 
 def _bounds(percent: int):
-    """Of a pair of different components: the one in the smaller looks; a dense class looks for sparse ones. Then the bounds of what can link."""
+    """Of a pair of different components: the one in the smaller looks; a dense class looks for sparse ones. Then the bounds of what can link.
+
+    Both sets of a pair in one band are listed in two schemes; the one of the larger set's band is enough.
+    """
     most = F.expr(f"(100 - {percent}) * (a_size + b_size) DIV (100 + {percent})")
     turn = F.expr("a_comp <> b_comp AND struct(a_sparse, a_members, a_comp) < struct(b_sparse, b_members, b_comp)")
     sizes = F.expr(f"100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size)")
     shared = F.expr("abs(a_size - a_own - b_size + b_own)")
     pivot = F.expr("if(a_pivot = b_pivot, abs(a_apart - b_apart), 0)")
     own = F.col("a_own") + F.col("b_own")
-    return turn & sizes & (own + F.greatest(shared, pivot) <= most), most - own + 1
+    return turn & (F.col("a_scheme") == F.greatest("a_band", "b_band")) & sizes & (own + F.greatest(shared, pivot) <= most), most - own + 1
 
 
 def _probed(rows: DataFrame, percent: int, probes: DataFrame | None = None) -> DataFrame:
