@@ -457,3 +457,47 @@ def test_page_text_of_implied_parts(page, text):
 )
 def test_page_text_with_stray_quotes(page, text):
     assert html_text.page_text(page)[0] == text
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_warc_of_large_ids_in_any_time_zone(spark, tmp_path, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = [(1, "http://a.example/x", "p"), (10**18, "http://a.example/y", "q"), (-5, None, None), (None, "http://b.example/", "r")]
+        warc_index.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "archives"))
+        got = {r["page_id"]: r["captured"] for r in warc_index.read_archives(spark, str(tmp_path / "archives")).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == {i: warc_index.EPOCH + (i or 0) % warc_index.SPAN for i, _, _ in rows}
+
+
+def test_runs_in_a_scratch_file_merge_in_order():
+    rng = random.Random(2)
+    runs = warc_index.Runs()
+    all_ = []
+    for n in (0, 1, 700, 257, 256):
+        own = sorted((rng.randrange(50), k) for k in range(n))
+        all_ += own
+        runs.add(own)
+    assert [x[0] for x in warc_index.LoserTree([runs.read(k) for k in range(5)])] == sorted(x[0] for x in all_)
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<html><head><title>x</title><p>Hello", "Hello"),
+        ("a<table>loose<tr><td>c</td>loose2</tr></table>d", "alooseloose2\n\nc\n\nd"),
+        ("<table><div>q</div><tr><td>z</table>", "q\n\nz"),
+        ("<xmp>shown</xmp>", "shown"),
+        ("<table><td>a<td>b</table>", "a  b"),
+        ("<div>" * 3000 + "<p style='display:none'>no</p>yes", "yes"),
+        ("<a title=don't>x</a> y", "x y"),
+    ],
+)
+def test_html_shapes(page, text):
+    assert html_text.page_text(page)[0].strip() == text
+
+
+def test_html_of_an_empty_table(spark):
+    assert html_text.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
