@@ -70,30 +70,28 @@ def pack(kind: int, bucket: np.ndarray, text: np.ndarray, ids: np.ndarray, tags:
 class Entries:
     """What rows of one kind hold."""
 
-    def __init__(self, rows: list[tuple], hashes: int, numbers: list[str], source: list[int] | None = None):
+    def __init__(self, rows: list[tuple], hashes: int, numbers: list[str]):
         def whole(i: int, kind) -> np.ndarray:
             return np.frombuffer(b"".join(r[i] for r in rows), kind)
 
         self.ids, self.tags, counts = whole(0, np.int64), whole(1, np.uint32), whole(2, np.uint32)
-        self.text = np.repeat(np.arange(len(counts)), counts)
+        self.text = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         self.hashes = []
         for i in range(hashes):
             x = whole(3 + i, np.uint8).reshape(-1, HASH_BYTES)
             h = np.zeros((len(x), 8), np.uint8)
             h[:, :HASH_BYTES] = x
             self.hashes.append(h.view(U64).ravel())
+            del x
         self.numbers = {}
         for i, c in enumerate(numbers):
             at = 3 + hashes + 4 * i
-            x = np.stack([whole(at + k, np.uint8) for k in range(4)], axis=1).astype(np.uint8)
-            x = np.ascontiguousarray(x).view(np.uint32).ravel().astype(np.int64)
+            x = np.stack([whole(at + k, np.uint8) for k in range(4)], axis=1).view(np.uint32).ravel().astype(np.int64)
             if i == 0 and len(x):
                 sums = np.cumsum(x)
                 first = np.cumsum(counts.astype(np.int64)) - counts
                 x = (sums - np.repeat(sums[first] - x[first], counts)) & 0xFFFFFFFF  # steps down wrap around
             self.numbers[c] = x
-        #: the row, that is the block of texts, that an entry came in
-        self.row = np.repeat(np.arange(len(rows)), [len(r[3]) // HASH_BYTES for r in rows]) if hashes and rows else None
 
 
 def unpack(batches: Iterable[pa.RecordBatch], hashes: int, numbers: list[str], more: int | None = None) -> tuple[Entries, ...]:

@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 
 from .arrays import blocks
 from .ranks import ranked
-from .shared import written
+from .shared import thrifty, written
 
 CAPACITY = 2048
 END_ID = 0
-#: Chunks whose ids a Python worker keeps at once.
-MEMO = 1_000_000
+#: Bytes of chunks and of their ids that a Python worker keeps at once, and what an entry takes besides.
+MEMO_BYTES, ENTRY_BYTES = 32 << 20, 200
 
 
 def _byte_letters() -> list[str]:
@@ -53,6 +53,7 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.letters = _byte_letters()
+        self.held = 0
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
@@ -68,12 +69,16 @@ class Encoder(dict):
             ids = self[core] + self[chunk[len(core) :]]
         else:
             ids = self._word(chunk)
-        self[chunk] = ids
+        taken = len(chunk) + len(ids) + ENTRY_BYTES
+        if self.held + taken > MEMO_BYTES:
+            self.clear()
+            self.held = 0
+        if taken <= MEMO_BYTES:
+            self[chunk] = ids
+            self.held += taken
         return ids
 
     def encode(self, text: bytes) -> bytes:
-        if len(self) > MEMO:
-            self.clear()
         return b"".join(map(self.__getitem__, text.split()))
 
 
@@ -89,6 +94,7 @@ def _loaded(definition: str) -> Encoder:
 
 
 def _tokenized(definition, capacity: int, keep_ids: bool):
+    @thrifty
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _loaded(definition.value)
         end = np.array([END_ID], "<u4").tobytes()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import tempfile
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Rows of an Arrow batch while tables are written: whole texts of many rows would be held on both sides of a worker's pipe.
-ROWS = 1000
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows and bytes of an Arrow batch while tables are written: more would be held on both sides of a worker's pipe. One larger row goes alone.
+ROWS, BYTES = 1000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +40,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return Tables(df.sparkSession).written(df, name)
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most ROWS rows and BYTES bytes for what is run inside; smaller settings stay."""
+    before = {name: spark.conf.get(name) for name in (BATCH, BATCH_BYTES)}
+    for (name, value), most in zip(before.items(), (ROWS, BYTES), strict=True):
+        limit = int(value.removesuffix("b"))
+        spark.conf.set(name, str(min(limit, most) if limit > 0 else most))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 class Tables:
     """Tables that one call writes to the shared folder. drop() deletes those that no result needs any more."""
 
@@ -49,12 +65,8 @@ class Tables:
         # Shuffle files of tables already written go when the driver collects its garbage; on a small driver that is too late.
         self.spark._jvm.System.gc()
         path = new_path(self.spark, name)
-        before = self.spark.conf.get(BATCH)
-        self.spark.conf.set(BATCH, str(min(int(before), ROWS)) if int(before) > 0 else str(ROWS))
-        try:
+        with _small_batches(self.spark):
             df.write.option("compression", "zstd").parquet(path)
-        finally:
-            self.spark.conf.set(BATCH, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = out, path
         return out
