@@ -28,8 +28,8 @@ from .shared import thrifty, written
 
 CAPACITY = 2048
 END_ID = 0
-#: Bytes of chunks and of their ids that a Python worker keeps at once, and what an entry takes besides.
-MEMO_BYTES, ENTRY_BYTES = 32 << 20, 200
+#: Bytes of chunks and of their ids that a Python worker keeps, twice at most, and what an entry takes besides.
+MEMO_BYTES, ENTRY_BYTES = 48 << 20, 200
 
 
 def _byte_letters() -> list[str]:
@@ -54,6 +54,7 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_str(definition)
         self.letters = _byte_letters()
         self.held = 0
+        self.older: dict[bytes, bytes] = {}  # what was kept before the last change; chunks in use move back
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
@@ -64,13 +65,19 @@ class Encoder(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.older.get(chunk)
+        return self._kept(chunk, self._ids(chunk) if ids is None else ids)
+
+    def _ids(self, chunk: bytes) -> bytes:
         core = chunk.rstrip(b".,;:!?")
         if core != chunk and core[-1:].isalpha() and b"<|" not in chunk:  # marks after a final letter are a piece of their own
-            ids = self[core] + self[chunk[len(core) :]]
-        else:
-            ids = self._word(chunk)
+            return self[core] + self[chunk[len(core) :]]
+        return self._word(chunk)
+
+    def _kept(self, chunk: bytes, ids: bytes) -> bytes:
         taken = len(chunk) + len(ids) + ENTRY_BYTES
         if self.held + taken > MEMO_BYTES:
+            self.older = dict(self)
             self.clear()
             self.held = 0
         if taken <= MEMO_BYTES:
@@ -110,6 +117,7 @@ def _tokenized(definition, capacity: int, keep_ids: bool):
             cols = zip(*rows, strict=True)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "at", "ids"])
+        encoder.older = {}
 
     return run
 
