@@ -32,7 +32,7 @@ END_ID = 0
 MEMO_BYTES, ENTRY_BYTES = 48 << 20, 200
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The characters that stand for the 256 bytes in byte-level vocabularies: printable ones for themselves, others from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     out = {b: chr(b) for b in shown}
@@ -52,7 +52,7 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         self.held = 0
         self.older: dict[bytes, bytes] = {}  # what was kept before the last change; chunks in use move back
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_dedup, decontamination, html_text, jaccard_join, lm_scoring, packing, quality_rules, sharding, substring_dedup, warc_index
+from . import bpe_encoding, byte_dedup, decontamination, html_text, importance, jaccard_join, lm_scoring, packing, quality_rules, sharding, spelling, substring_dedup, warc_index
 
 MODULES = {
     "op1_warc_index": warc_index,
@@ -15,6 +15,9 @@ MODULES = {
     "op9_sharding": sharding,
     "op10_packing": packing,
     "op5_substring_dedup": substring_dedup,
+    "op11_bpe_encoding": bpe_encoding,
+    "op12_spelling_variants": spelling,
+    "op13_importance_resampling": importance,
 }
 
 
