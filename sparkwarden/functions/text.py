@@ -76,14 +76,14 @@ def code_text(path: Column, content: Column) -> Column:
     out = blanked_comment_lines(content, OTHER_COMMENTS)
     for kind, marks in reversed(COMMENTS):
         # Most files have no such line, and are taken as they are.
-        own = F.when(content.rlike(rf"(?m)^\s*(?:{marks})(?:\s|$)"), blanked_comment_lines(content, marks)).otherwise(content)
+        own = F.when(content.rlike(rf"(?md)^[^\S\n]*(?:{marks})(?:\s|$)"), blanked_comment_lines(content, marks)).otherwise(content)
         out = F.when(path.rlike(kind), own).otherwise(out)
     return out
 
 
 def blanked_comment_lines(content: Column, marker: str) -> Column:
     """Lines that hold only a comment (its marker at the start, then white space or nothing) as blanks of the same length."""
-    only = rf"^\s*(?:{marker})(?:\s|$)"
+    only = rf"^\s*(?:{marker})(?:\s|\z)"
     return F.array_join(F.transform(F.split(content, "\n"), lambda x: F.when(x.rlike(only), F.repeat(F.lit(" "), F.length(x))).otherwise(x)), "\n")
 
 
@@ -98,6 +98,44 @@ def outside_fences(content: Column) -> Column:
     return F.array_join(F.aggregate(F.split(content, "\n"), zero, step, lambda a: a["kept"]), "\n")
 
 
+# An escape of a JSON string that stands for a character which needs none.
+JSON_ESCAPE = r"(?:\\u(?!(?i:00[01][0-9a-f]|0022|005c))[0-9a-fA-F]{4})+"
+YAML_ESCAPE = r"\\x(?!(?i:[01][0-9a-f]|22|5c))[0-9a-fA-F]{2}"
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\z)'
+
+
+def _unescaped(text: Column, pattern: str, pad: str) -> Column:
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    # Longer runs first: a shorter one may be part of them.
+    found = F.array_sort(found, lambda a, b: F.length(b) - F.length(a))
+    char = lambda m: F.decode(F.unhex(F.concat(F.lit(pad), F.regexp_replace(m, r"\\[ux]", ""))), "UTF-16BE")
+    return F.when(text.rlike(pattern), F.aggregate(found, text, lambda a, m: F.replace(a, m, char(m)))).otherwise(text)
+
+
+def without_json_escapes(text: Column) -> Column:
+    """text as a JSON reader sees its keys: escapes of plain characters resolved, those of quotes and controls kept."""
+    return _unescaped(text, JSON_ESCAPE, "")
+
+
+def without_yaml_escapes(text: Column) -> Column:
+    """text with the escapes resolved that stand in double-quoted scalars of one line."""
+    parts = F.regexp_extract_all(text, F.lit(r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|"|[^"]++'), F.lit(0))
+    scalar = lambda x: F.when(x.rlike(r"^\".*\\[ux].*\"\z"), _unescaped(_unescaped(x, JSON_ESCAPE, ""), YAML_ESCAPE, "00")).otherwise(x)
+    return F.when(text.rlike(r"\\[ux]"), F.array_join(F.transform(parts, scalar), "")).otherwise(text)
+
+
+def strict_json(text: Column) -> Column:
+    """JSON with comments and trailing commas as plain JSON: one pass over strings and comments, one over commas."""
+    bare = F.regexp_replace(text, rf"(?s)({_STRING})|//[^\n]*+|/\*.*?(?:\*/|\z)", "$1")
+    return F.regexp_replace(bare, rf"(?s)({_STRING})|,(?=\s*[}}\]])", "$1")
+
+
+def line_of_text(content: Column, needle: Column) -> Column:
+    """Line of the first place of a plain text, null without one."""
+    at = F.instr(content, needle)
+    return F.when(at > 0, line_of(content, at - 1))
+
+
 def parsed_repository(text: Column) -> Column:
     """Struct (owner, repo) of a reference in short form, bare host or URL; null where it is none."""
     body = F.regexp_replace(F.trim(text), r"^(?i:https?://)?(?:(?i:www\.)?(?i:github\.com)/)?", "")
