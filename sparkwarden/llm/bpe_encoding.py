@@ -40,6 +40,7 @@ BLOCK_BYTES, BLOCK_WORDS = 32 << 20, 1 << 18
 #: Kinds of rows: places of a block's texts, words for a bucket, ids for a block.
 _PLACES, _WORDS, _IDS = 0, 1, 2
 _ROW = "kind int, block long, bucket int, names binary, a binary, b binary, c binary"
+_JOINED = ["names", "a", "b", "replies"]
 
 # The pattern of byte-level splitting, and the same for texts below U+0100 in the syntax of `re`.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -153,8 +154,7 @@ def _split(definition, n: int, block_bytes: int, block_words: int):
             new = np.empty(len(numbers), np.uint32)
             new[often] = np.arange(len(numbers), dtype=np.uint32)
             names = np.array(ids, np.int64).tobytes() + np.array(known, np.uint8).tobytes()
-            home = int(bucket_of(mix(np.array([block], U64)), n)[0])
-            yield _row(_PLACES, block, home, names, *_squeezed(np.array(counts, np.int64).tobytes(), _planes(new[at])))
+            yield _row(_PLACES, block, 0, names, *_squeezed(np.array(counts, np.int64).tobytes(), _planes(new[at])))
             words = [w.encode() for w in numbers]
             words = [words[i] for i in often]
             to = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
@@ -193,7 +193,7 @@ def _lists(words: bytes, lengths: np.ndarray) -> list[bytes]:
     return [words[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
 
 
-def _encoded(definition, n: int):
+def _encoded(definition):
     """Each distinct word of a bucket is encoded once; its ids go to every block that asked."""
 
     @thrifty
@@ -208,61 +208,45 @@ def _encoded(definition, n: int):
                     if ids is None:
                         ids = found[w] = np.array(tokenizer.ids(w.decode()), "<u4").tobytes()
                     out.append(ids)
-                home = int(bucket_of(mix(np.array([block], U64)), n)[0])
                 sizes = np.fromiter(map(len, out), np.uint32, len(out)) >> 2
-                yield _row(_IDS, block, home, None, *_squeezed(_planes(np.frombuffer(b"".join(out), "<u4")), _planes(sizes)), slots)
+                yield _row(_IDS, block, 0, None, *_squeezed(_planes(np.frombuffer(b"".join(out), "<u4")), _planes(sizes)), slots)
 
     return run
 
 
-def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ids of a block's words, joined to its places. Rows come block by block, places first."""
-    names = None
-    size = start = flat = None
-
-    def texts() -> Iterator[pa.RecordBatch]:
-        ids, known, counts, places = names
-        end = np.cumsum(counts)
-        lo = 0
-        while lo < len(counts):  # about a million places at a time
-            hi = max(lo + 1, int(np.searchsorted(end, end[lo] + (1 << 20), "right")))
-            at = places[end[lo] - counts[lo] : end[hi - 1]]
-            n = size[at]
-            ends = np.concatenate([[0], np.cumsum(n)])
-            take = np.repeat(start[at] - ends[:-1], n) + np.arange(ends[-1])
-            values = flat[take].astype("<u4").tobytes()
-            cut = 4 * ends[np.concatenate([[0], np.cumsum(counts[lo:hi])])]
-            own = [values[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-            counted = (np.diff(cut) // 4).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi], mask=known[lo:hi] == 0), pa.array(counted), pa.array(own, pa.binary())], ["doc_id", "n_tokens", "ids"])
-            lo = hi
-
-    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def finished() -> Iterator[pa.RecordBatch]:
-        nonlocal size, start, flat
-        total = 1 + max((int(s[-1]) for s, _, _ in parts if len(s)), default=-1)
-        size, start, flat = np.zeros(total, np.int64), np.zeros(total, np.int64), np.concatenate([np.empty(0, np.uint32), *(f for _, _, f in parts)])
-        before = 0
-        for slots, sizes, own in parts:
-            size[slots] = sizes
-            start[slots] = before + np.cumsum(sizes) - sizes
-            before += len(own)
-        yield from texts()
+def _texts(names: bytes, counts: bytes, places: bytes, replies: list[dict]) -> Iterator[pa.RecordBatch]:
+    """Ids of the texts of a block: those of its words, joined to its places."""
+    parts = [(np.cumsum(_from_planes(_whole(r["c"])).astype(np.int64)), _from_planes(_whole(r["b"])).astype(np.int64), _from_planes(_whole(r["a"]))) for r in replies]
+    n_words = sum(len(slots) for slots, _, _ in parts)
+    size, start = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
+    flat = np.concatenate([np.empty(0, np.uint32), *(ids for _, _, ids in parts)])
+    before = 0
+    for slots, sizes, own in parts:
+        size[slots] = sizes
+        start[slots] = before + np.cumsum(sizes) - sizes
+        before += len(own)
+    k = len(names) // 9
+    ids, known = np.frombuffer(names, np.int64, k), np.frombuffer(names, np.uint8, offset=8 * k)
+    n, at = np.frombuffer(_whole(counts), np.int64), _from_planes(_whole(places))
+    end = np.cumsum(n)
+    lo = 0
+    while lo < k:  # about a million places at a time
+        hi = max(lo + 1, int(np.searchsorted(end, end[lo] + (1 << 20), "right")))
+        own = at[end[lo] - n[lo] : end[hi - 1]]
+        sizes = size[own]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        take = np.repeat(start[own] - ends[:-1], sizes) + np.arange(ends[-1])
+        cut = ends[np.concatenate([[0], np.cumsum(n[lo:hi])])]
+        values = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(4 * cut), pa.py_buffer(flat[take].astype("<u4"))])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi], mask=known[lo:hi] == 0), pa.array(np.diff(cut)), values.cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
+        lo = hi
+
 
+def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for kind, _, named, x, y, z in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("kind", "block", "names", "a", "b", "c")), strict=True):
-            if kind == _PLACES:
-                if names:
-                    yield from finished()
-                parts.clear()
-                k = len(named) // 9
-                names = np.frombuffer(named, np.int64, k), np.frombuffer(named, np.uint8, offset=8 * k), np.frombuffer(_whole(x), np.int64), _from_planes(_whole(y))
-            else:
-                slots = np.cumsum(_from_planes(_whole(z)).astype(np.int64))
-                parts.append((slots, _from_planes(_whole(y)).astype(np.int64), _from_planes(_whole(x))))
-    if names:
-        yield from finished()
+        for k in range(b.num_rows):
+            names, counts, places, replies = (b.column(b.schema.get_field_index(c))[k].as_py() for c in _JOINED)
+            yield from _texts(names, counts, places, replies or [])
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -274,11 +258,13 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     Tokenizer(definition)
     sent = spark.sparkContext.broadcast(definition)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    parts = Tables(spark).written(rows.mapInArrow(_split(sent, n, block_bytes, block_words), _ROW), "words_and_places")
+    parts = Tables(spark).bucketed(rows.mapInArrow(_split(sent, n, block_bytes, block_words), _ROW), "words_and_places", "block")
     asked = parts.filter(F.col("kind") == _WORDS)
-    replies = asked.repartitionById(n, "bucket").mapInArrow(_encoded(sent, n), _ROW)
-    back = parts.filter(F.col("kind") == _PLACES).unionByName(replies).repartitionById(n, "bucket").sortWithinPartitions("block", "kind")
-    return back.mapInArrow(thrifty(_gathered), "doc_id long, n_tokens long, ids binary")
+    replies = asked.repartitionById(n, "bucket").mapInArrow(_encoded(sent), _ROW)
+    # A block has a bounded number of words, so its replies fit a row. Its places stay where they are, in the block's bucket.
+    back = replies.groupBy("block").agg(F.collect_list(F.struct("a", "b", "c")).alias("replies"))
+    places = parts.filter(F.col("kind") == _PLACES).select("block", "names", "a", "b")
+    return places.join(back.hint("shuffle_merge"), "block", "left").select(_JOINED).mapInArrow(thrifty(_gathered), "doc_id long, n_tokens long, ids binary")
 
 
 def _joined(pieces, digest: Callable | None = None):

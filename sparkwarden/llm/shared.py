@@ -71,6 +71,15 @@ class Tables:
         self.paths[id(out)] = out, path
         return out
 
+    def bucketed(self, df: DataFrame, name: str, column: str) -> DataFrame:
+        """As written(), dealt into as many buckets of column as there are shuffle partitions, so that a join on it need not shuffle this side."""
+        path, table = new_path(self.spark, name), f"sparkwarden_{uuid.uuid4().hex}"
+        with _small_batches(self.spark):
+            df.write.option("compression", "zstd").option("path", path).bucketBy(partitions(self.spark), column).saveAsTable(table)
+        out = self.spark.table(table)
+        self.paths[id(out)] = out, path
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes these tables: whatever was made of them must have been written."""
         for t in tables:
