@@ -22,9 +22,11 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +40,9 @@ EVERY = 31
 BLOCK = 64
 #: Words of more code points are compared one by one, others in arrays.
 _WIDE = 64
-_RUN = re.compile("[A-Za-zÀ-ÿ]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
+#: Rows of blocks that are compared at a time.
+_SCANNED = 20_000
 #: Text and distinct words of a task that are counted before they are handed on.
 _BYTES, _WORDS = 32 << 20, 1 << 18
 
@@ -47,10 +50,10 @@ _BYTES, _WORDS = 32 << 20, 1 << 18
 def variants(text: str, doc: str, least: int = LEAST_LENGTH) -> Counter:
     """Counts of a text's words of at least `least` code points, after the rule that deletes code points."""
     out: Counter = Counter()
-    for run, n in Counter(_RUN.findall(text.translate(_LOWER) if not text.isascii() else text.lower())).items():
-        if len(run) < least:
-            continue
-        h = zlib.crc32(f"{doc}:{run}".encode())
+    start = zlib.crc32(f"{doc}:".encode())
+    # A maximal run that is long enough: a shorter one has no match, whatever follows it.
+    for run, n in Counter(re.findall(f"[A-Za-zÀ-ÿ]{{{least},}}", text.lower() if text.isascii() else text.translate(_LOWER))).items():
+        h = zlib.crc32(run.encode(), start)
         if h % EVERY == 0:
             at = h % len(run)
             run = run[:at] + run[at + 1 :]
@@ -152,36 +155,8 @@ def dictionaries(words: DataFrame, tables: Tables, most_entries: int = BLOCK, sh
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Number of equal columns before the first different one, row by row."""
-    differ = a != b
-    return np.where(differ.any(axis=1), differ.argmax(axis=1), b.shape[1])
-
-
-def _near(block: list[tuple[str, int]], m: int, equal: bool, p: int, s: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of a block that are one edit apart and are this block's to find."""
-    words = [w for w, _ in block]
-    length = np.fromiter(map(len, words), np.int64, len(words))
-    short = np.flatnonzero(length == m)
-    long = short if equal else np.flatnonzero(length == m + 1)
-    if not len(short) or not len(long):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    width = m + 1
-    if width <= _WIDE:
-        rows, ends = (np.array(x, f"<U{width}").view(np.uint32).reshape(-1, width) for x in (words, [w[::-1] for w in words]))
-    found_a, found_b = [], []
-    for at, i in enumerate(short.tolist()):
-        others = long[at + 1 :] if equal else long
-        if not len(others):
-            continue
-        if width <= _WIDE:
-            front, back = _common(rows[i], rows[others]), _common(ends[i], ends[others])
-        else:
-            front = np.array([_shared(words[i], words[j]) for j in others.tolist()])
-            back = np.array([_shared(words[i][::-1], words[j][::-1]) for j in others.tolist()])
-        near = (front >= p) & (back >= s) & (front < most) & (front + back >= (m - 1 if equal else m))
-        found_b.append(others[near])
-        found_a.append(np.full(int(near.sum()), i))
-    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.empty(0, np.int64), np.empty(0, np.int64))
+    """Number of equal columns before the first different one, row by row; no two rows are equal."""
+    return (a != b).argmax(axis=1)
 
 
 def _shared(a: str, b: str) -> int:
@@ -193,43 +168,103 @@ def _shared(a: str, b: str) -> int:
     return lo
 
 
+@dataclass
+class _Rows:
+    """Entries in the order of their blocks, and within a block of their words."""
+
+    words: pa.Array
+    n: np.ndarray
+    block: np.ndarray  # ascends
+    limits: np.ndarray  # m, equal, p, s, most of each row
+    length: np.ndarray
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the pairs that are one edit apart and that their block is to find: each row is compared with those after it, at one distance at a time."""
+        m, equal, p, s, most = self.limits.T
+        wide = m >= _WIDE
+        words = np.array(self.words.to_pylist(), dtype=object)
+        rows = np.flatnonzero(~wide)
+        found = [self._wide(words, np.flatnonzero(wide))] if wide.any() else []
+        if len(rows):
+            text = np.array(words[rows].tolist(), dtype=f"<U{_WIDE}").view(np.uint32).reshape(len(rows), -1)
+            width = int(self.length[rows].max()) + 1
+            text = text[:, :width].astype(np.uint8 if text.max() < 256 else np.uint32)
+            back = np.zeros_like(text)
+            at = self.length[rows][:, None] - 1 - np.arange(width)[None, :]
+            np.copyto(back, np.take_along_axis(text, np.maximum(at, 0), axis=1), where=at >= 0)
+            block, length = self.block[rows], self.length[rows]
+            d = 0
+            while True:
+                d += 1
+                i = np.flatnonzero(block[:-d] == block[d:]) if d < len(rows) else np.empty(0, np.int64)
+                if not len(i):
+                    break
+                j = i + d
+                k = rows[i]
+                fits = np.where(equal[k] == 1, True, np.abs(length[i] - length[j]) == 1)
+                i, j, k = i[fits], j[fits], k[fits]
+                front = _common(text[i], text[j])
+                may = (front < most[k]) & (front >= p[k])
+                i, j, k, front = i[may], j[may], k[may], front[may]
+                end = _common(back[i], back[j])
+                near = (end >= s[k]) & (front + end >= m[k] - equal[k])
+                found.append((rows[i[near]], rows[j[near]]))
+        return tuple(np.concatenate([f[x] for f in found]) if found else np.empty(0, np.int64) for x in (0, 1))
+
+    def _wide(self, words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for at, i in enumerate(rows.tolist()):
+            m, equal, p, s, most = self.limits[i].tolist()
+            for j in rows[at + 1 :].tolist():
+                if self.block[j] != self.block[i]:
+                    break
+                if equal or abs(len(words[i]) - len(words[j])) == 1:
+                    front, end = _shared(words[i], words[j]), _shared(words[i][::-1], words[j][::-1])
+                    if p <= front < most and end >= s and front + end >= m - equal:
+                        out.append((i, j))
+        return tuple(np.array(out, np.int64).reshape(-1, 2).T)
+
+    def told(self) -> pa.RecordBatch:
+        """What the blocks say of their words: (word, near words, the best one's count, the best one)."""
+        a, b = self.pairs()
+        row, other = np.concatenate([a, b]), np.concatenate([b, a])
+        order = np.lexsort((other, -self.n[other], row))
+        row, other = row[order], other[order]
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.empty(0, np.int64)
+        counts = np.diff(np.append(first, len(row)))
+        best = other[first]
+        cols = [self.words.take(pa.array(row[first])), pa.array(counts), pa.array(self.n[best]), self.words.take(pa.array(best))]
+        return pa.RecordBatch.from_arrays(cols, ["word", "n_near", "best_n", "best"])
+
+
 def _scanned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What each block says of its words: (word, near words, the best one's count, the best one)."""
-    held: list[tuple[str, int]] = []
-    last = None
-    out: list[tuple[str, int, int, str]] = []
-
-    def told() -> None:
-        if len(held) < 2:
-            return
-        m, equal, p, s, most, _, _ = last
-        a, b = _near(held, m, equal, p, s, most)
-        if not len(a):
-            return
-        near: dict[int, list[int]] = {}
-        for i, j in zip(a.tolist(), b.tolist(), strict=True):
-            near.setdefault(i, []).append(j)
-            near.setdefault(j, []).append(i)
-        for i, others in near.items():
-            best = min(others, key=lambda j: (-held[j][1], held[j][0]))
-            out.append((held[i][0], len(others), held[best][1], held[best][0]))
-
-    def handed() -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True)) or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["word", "n_near", "best_n", "best"])
+    """Blocks of sorted entries, some thousand rows at a time; a block that the next batch goes on with waits for it."""
+    held: list[pa.RecordBatch] = []
+    n_held = 0
+
+    def rows(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, n_held
+        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        numbers = np.stack([np.asarray(t.column(c).cast(pa.int64())) for c in ("m", "equal", "p", "s", "most")], axis=1)
+        new = (numbers[1:] != numbers[:-1]).any(axis=1)
+        for c in ("head", "tail"):
+            x = t.column(c)
+            new |= np.asarray(pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)).to_numpy(zero_copy_only=False), bool)
+        block = np.concatenate([[0], np.cumsum(new)])
+        end = len(block) if last else int(np.searchsorted(block, block[-1]))
+        if end:
+            words = t.column("word").slice(0, end)
+            yield _Rows(words, np.asarray(t.column("n"))[:end], block[:end], numbers[:end], np.asarray(pc.utf8_length(words)).astype(np.int64)).told()
+        held = [t.slice(end)] if end < t.num_rows else []
+        n_held = t.num_rows - end
 
     for batch in batches:
-        names = ("m", "equal", "p", "s", "most", "head", "tail", "word", "n")
-        for *key, word, n in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True):
-            if key != last:
-                told()
-                held, last = [], key
-                if len(out) > 1 << 16:
-                    yield handed()
-                    out.clear()
-            held.append((word, n))
-    told()
-    yield handed()
+        held.append(batch)
+        n_held += batch.num_rows
+        if n_held > _SCANNED:
+            yield from rows(False)
+    if n_held:
+        yield from rows(True)
 
 
 def near_words(words: DataFrame, tables: Tables, most_entries: int = BLOCK, shortest: int = 1) -> DataFrame:
