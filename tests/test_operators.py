@@ -1,6 +1,10 @@
 import datetime as dt
 import json
 import random
+import threading
+import time
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -79,14 +83,21 @@ def test_signatures_and_their_options(spark):
     assert got == {(2, "backdoor-command-handlers", "high", 2), (4, "python-download-execute", "high", 1), (5, "sandbox-evasion", "low", 1), (6, "sandbox-evasion", "medium", 1), (7, "c2-port-fingerprint", "high", 1)}
 
 
-def test_hostile_text_ends_soon(spark):
-    long = ["a" * 500_000, "certutil " * 60_000, '"' * 300_000, "display dialog " * 40_000, "\n" * 300_000]
-    df = spark.createDataFrame([(i, "a.js", x) for i, x in enumerate(long)], "repo_id int, path string, content string")
-    import time
-
-    began = time.time()
-    signatures.signature_findings(df).count()
-    assert time.time() - began < 60
+@pytest.mark.parametrize("shape", ["a", "certutil ", '"', "display dialog ", "\n", " ", "\t", "\r", " \n", "# ", "//\n", ".ssh/id_rsa "])
+def test_hostile_text_ends_soon(spark, shape):
+    """A file of a million characters of one shape; a search that does not end is cancelled."""
+    files = spark.createDataFrame([(1, "a.js", (shape * (1_000_000 // len(shape) + 1))[:1_000_000])], "repo_id int, path string, content string")
+    spark.sparkContext.setJobGroup("hostile", shape, interruptOnCancel=True)
+    stop = threading.Timer(60, lambda: spark.sparkContext.cancelJobGroup("hostile"))
+    stop.start()
+    try:
+        signatures.wallet_files(files).count()
+        began = time.time()
+        signatures.signature_findings(files).count()
+        assert time.time() - began < 15
+    finally:
+        stop.cancel()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_path_steps_do_not_stack(spark):

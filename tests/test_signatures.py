@@ -43,10 +43,37 @@ def test_signature_cases(spark):
     assert got == {(k, *x) for k, (_, _, want) in enumerate(CASES) for x in want}
 
 
+#: Files with the severity that naming a wallet or key file must give there, null for none.
+WALLETS = [
+    ("a.js", "Login Data", "low"),
+    ("a.js", "open('wallet.dat')", "low"),  # a quote after the bracket is no word's edge
+    ("a.js", "p = 'wallet.dat'; open(p)", "high"),
+    ("a.js", "readFile('Login Data', 'Web Data', 'Local State')", "high"),
+    ("a.js", "const a = ['Login Data', 'Web Data', 'wallet.dat'];", "medium"),
+    ("a.md", "wallet.dat", None),
+    ("a.sh", "x ~/.gnupg/gpg.conf", None),
+    ("a.js", 'const fs = require("fs");\nfs.readFileSync(process.env.HOME + "/.electrum/wallets/default_wallet");', "high"),
+    ("a.py", "help = 'see wallet.dat'\n" + "x = 1\n" * 200 + "shutil.copyfile; homedir + 'wallet.dat'", "high"),
+    ("a.py", "open(notes)\n" + "x = 1\n" * 200 + "help = 'wallet.dat'", "low"),
+    ("a.py", "p = Path(base) / 'Local State'", "low"),
+    ("a.py", "p = Path(base) / 'Local State'; k = p['os_crypt']['encrypted_key']", "high"),
+    ("a.py", "import paramiko\nk = paramiko.RSAKey(open(f'/home/u/.ssh/id_rsa'))", "medium"),
+    ("a.py", "import paramiko\nk = open(f'/home/u/.ssh/id_rsa')\nrequests.post(u, k)", "high"),
+    ("a.rs", 'let k = fake_home.join(".ssh/id_ed25519"); fs::write(k)', None),
+    ("a.rs", 'let k = fake_home.join(".ssh/id_ed25519"); let r = fs::read(a, ".ssh/id_rsa")', "high"),
+    ("a.go", "// reads ~/.aws/credentials for the profile\nos.Open(p)", None),
+]
+
+
 def test_wallet_severities(spark):
-    rows = [(1, "a.js", "Login Data"), (2, "a.js", "open('wallet.dat')"), (3, "a.js", "readFile('Login Data', 'Web Data', 'Local State')"), (4, "a.md", "wallet.dat"), (5, "a.sh", "x ~/.gnupg/gpg.conf")]
-    got = {(r["repo_id"], r["targets"], r["severity"]) for r in signatures.wallet_files(spark.createDataFrame(rows, FILE)).collect()}
-    assert got == {(1, 1, "low"), (2, 1, "medium"), (3, 3, "high")}
+    rows = spark.createDataFrame([(k, p, c) for k, (p, c, _) in enumerate(WALLETS)], FILE)
+    got = {r["repo_id"]: r["severity"] for r in signatures.wallet_files(rows).collect()}
+    assert [(w[:2], got.get(k)) for k, w in enumerate(WALLETS) if got.get(k) != w[2]] == []
+
+
+def test_wallet_line_is_that_of_the_read(spark):
+    rows = spark.createDataFrame([(1, "a.py", "help = 'wallet.dat'\n" + "x = 1\n" * 200 + "open(home + 'wallet.dat')"), (2, "a.py", "a = 1\nb = 'wallet.dat'\nc = 'Login Data'")], FILE)
+    assert {r["repo_id"]: (r["line"], r["targets"]) for r in signatures.wallet_files(rows).collect()} == {1: (202, 1), 2: (3, 2)}
 
 
 @pytest.mark.parametrize("name", ["signature_scan", "wallet_files"])
