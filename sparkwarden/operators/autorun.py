@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.functions.text import host_of, line_of_match, line_of_text, strict_json, without_json_escapes, without_yaml_escapes
-from sparkwarden.operators.shell import LOADS_CODE, dangerous_script, inline_code, let, literal_is_inert, programs, runs_checked_in, with_download, with_downloads
+from sparkwarden.functions.text import host_of, let, line_of_match, line_of_text, strict_json, without_json_escapes, without_yaml_escapes
+from sparkwarden.operators.shell import LOADS_CODE, dangerous_script, inline_code, literal_is_inert, programs, runs_checked_in, with_download, with_downloads
 
 # Routes.
 TASKS = r"(^|/)\.vscode/tasks\.json\z|\.code-workspace\z"

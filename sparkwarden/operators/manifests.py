@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.functions.text import directory, line_of_text
+from sparkwarden.functions.text import directory, let, line_of_text
 from sparkwarden.operators.dependencies import POPULAR, name_findings
-from sparkwarden.operators.shell import dangerous_script, let
+from sparkwarden.operators.shell import dangerous_script
 
 MANIFEST = r"(^|/)package\.json\z"
 # Scripts that an install runs, in the order in which it does; names that people run; fields with dependencies.

@@ -8,7 +8,7 @@ such as hosts, pipes, prompts and placeholders, is a Column over these structs,
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from sparkwarden.functions.text import redacted
+from sparkwarden.functions.text import let, redacted
 
 #: Characters of a logical line, and of one command in it.
 LINE_CHARS, COMMAND_CHARS = 8_000, 4_000
@@ -180,11 +180,6 @@ def known_installers(command: Column, own: Column | None = None) -> Column:
     return (F.size(urls) > 0) & F.forall(urls, known)
 
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with value worked out once however often it is used, within lambdas too."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def _before(text: Column, pattern: str) -> Column:
     return F.regexp_extract(text, rf"(?s)^(.*?)(?:{pattern})", 1)
 
