@@ -223,3 +223,10 @@ def autorun_findings(files: DataFrame, own: Column | None = None) -> DataFrame:
     composer = F.when(path.rlike(COMPOSER), F.transform(judged, lambda c: _finding("composer-install-script", F.when(c["command"].rlike(LOADS_CODE) | c["command"].rlike(PHP_RUNS), "high").otherwise("low"), line_of_text(content, F.concat(F.lit('"'), c["name"], F.lit('"'))))))
     every = F.concat(F.array_compact(F.array(*singles)), F.coalesce(container, none), F.coalesce(composer, none))
     return rows.select("repo_id", path.alias("file"), F.explode(every).alias("f")).select("repo_id", "f.id", "f.severity", "file", "f.line", "f.programs")
+
+
+def autorun_references(files: DataFrame) -> DataFrame:
+    """Rows (repo_id, from_path, rel): programs of the repository that editors, agents and containers start by themselves."""
+    rows = _with_commands(files.filter(F.col("path").rlike(TASKS) | F.col("path").rlike(DEVCONTAINER) | F.col("path").rlike(MCP) | F.col("path").rlike(HOOKS)))
+    every = F.array_distinct(F.flatten(F.transform("cmds", lambda c: programs(c["command"]))))
+    return rows.select("repo_id", F.col("path").alias("from_path"), F.explode(every).alias("rel"))
