@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import text as tx
-from sparkwarden.operators import autorun, configuration, context, dependencies, grading, lockfiles, manifests, rewrites, selection, shell, signatures, verdicts
+from sparkwarden.operators import autorun, configuration, context, dependencies, grading, lockfiles, manifests, relations, rewrites, selection, shell, signatures, verdicts
 from sparkwarden.plans import reports
 from sparkwarden.plans import scan as scan_plan
 from sparkwarden.sources import carrier, samples
@@ -389,14 +389,48 @@ def scanned(spark, d) -> scan_plan.Scan:
     return scan_plan.scan(f.select("repo_id", "path", "content"), f.select("repo_id", "ord", "path", F.lit(1000).cast("long").alias("size")), meta(spark, d), NOW)
 
 
-@query("scan")
+# What the samples of a repository of the carrier must give, file by file, and what paths, programs and tools make of it.
+_N = len(carrier.SNIPPETS)
+_CYCLE = lambda path: f"repo_id % {len(carrier.WHOLE[path])}"
+EXPECTED = f"""WITH d AS (SELECT doc_id, CAST(doc_id // 24 AS INT) AS repo_id, doc_id % {_N} AS sample, coalesce(text, '') || chr(10) || 'x' AS body, {carrier.SCAN_COLUMNS["path"]} AS path FROM documents),
+  code AS (SELECT *, split_part(path, '.', -1) AS kind FROM d WHERE split_part(path, '.', -1) IN ('js', 'ts', 'py', 'sh', 'go', 'rb')),
+  raw AS (
+    SELECT repo_id, r.id, r.severity, path AS file FROM code JOIN {SAMPLE_RULES} ON code.sample = r.sample
+      WHERE r.files = 'all' OR (r.files = 'interpreted' AND kind <> 'go') OR (r.files = 'hash comments' AND kind IN ('py', 'sh', 'rb')) OR (r.files = 'slash comments' AND kind IN ('js', 'ts', 'go'))
+    UNION ALL SELECT repo_id, 'wallet-file-access', 'low', path FROM code WHERE sample IN (19, 26)
+    UNION ALL SELECT repo_id, 'single-line-blob', 'low', path FROM code WHERE length(body) > 8000 AND length(body) > 2000 * (1 + length(body) - length(replace(body, chr(10), '')))
+    UNION ALL SELECT repo_id, 'lifecycle-script', CASE {_CYCLE("package.json")} WHEN 1 THEN 'high' ELSE 'low' END, path FROM d WHERE path = 'package.json' AND {_CYCLE("package.json")} IN (1, 2)
+    UNION ALL SELECT repo_id, 'odd-dependency-mix', 'medium', path FROM d WHERE path = 'package.json' AND {_CYCLE("package.json")} = 3
+    UNION ALL SELECT repo_id, 'broken-package-json', 'low', path FROM d WHERE path = 'package.json' AND {_CYCLE("package.json")} = 4
+    UNION ALL SELECT repo_id, 'mcp-server-autostart', CASE {_CYCLE(".mcp.json")} WHEN 1 THEN 'high' ELSE 'low' END, path FROM d WHERE path = '.mcp.json' AND {_CYCLE(".mcp.json")} IN (1, 2)
+    UNION ALL SELECT repo_id, 'lockfile-off-registry', 'high', path FROM d WHERE path = 'package-lock.json' AND {_CYCLE("package-lock.json")} = 1
+    UNION ALL SELECT repo_id, 'workflow-self-hosted-runner', 'low', path FROM d WHERE path = '.github/workflows/ci.yml' AND {_CYCLE(".github/workflows/ci.yml")} = 0
+    UNION ALL SELECT repo_id, 'dockerfile-remote-exec', 'high', path FROM d WHERE path = 'Dockerfile' AND {_CYCLE("Dockerfile")} = 1
+    UNION ALL SELECT repo_id, 'agent-instruction-file', 'low', path FROM d WHERE path = 'CLAUDE.md'
+    UNION ALL SELECT repo_id, split_part(found, ':', 1), split_part(found, ':', 2), '(repository)' FROM ({ORACLES["context_rules"]})),
+  tagged AS (SELECT *, file IN ('vendor/lib.js', 'dist/bundle.js') AS vendored, file IN ('tests/app.test.js', 'examples/demo.js', 'src/appTest.js') AS test_path FROM raw),
+  bundled AS (SELECT * REPLACE (CASE WHEN vendored AND id IN ({quoted(rewrites.VENDOR_NOISE)}) THEN 'low' WHEN vendored AND id IN ({quoted(rewrites.LOW_SPECIFICITY)}) AND severity = 'high' THEN 'medium' ELSE severity END AS severity) FROM tagged),
+  placed AS (SELECT * REPLACE (CASE WHEN (test_path OR file = 'ci/install.sh') AND severity = 'high' THEN 'medium' WHEN test_path AND severity = 'medium' THEN 'low' ELSE severity END AS severity) FROM bundled),
+  built AS (SELECT *, FALSE AS manual FROM placed UNION ALL SELECT DISTINCT repo_id, 'payload-in-config', 'high', file, FALSE, FALSE, FALSE FROM placed WHERE file IN ('next.config.js', 'webpack.config.js') AND severity = 'high'),
+  started AS (SELECT * REPLACE (CASE WHEN id = 'mcp-server-autostart' AND severity = 'high' AND EXISTS (SELECT 1 FROM d WHERE d.repo_id = b.repo_id AND path = 'src/app.js')
+      AND NOT EXISTS (SELECT 1 FROM built o WHERE o.repo_id = b.repo_id AND o.file = 'src/app.js' AND o.severity <> 'low') THEN 'medium' ELSE severity END AS severity) FROM built b),
+  judged AS (SELECT * REPLACE (file IN ('ci/install.sh', 'tools/release.sh') AND severity <> 'low' AND id IN ({quoted(relations.CAPABILITIES)}) AS manual) FROM started),
+  f AS (SELECT * REPLACE (CASE WHEN manual THEN CASE severity WHEN 'high' THEN 'medium' ELSE 'low' END ELSE severity END AS severity) FROM judged)"""
+_KEY = f"""CASE WHEN severity <> 'low' OR id IN ({quoted(verdicts.ADVISORY)}) THEN NULL WHEN vendored THEN 'vendored-artifact' WHEN manual THEN 'maintainer-tool' WHEN test_path THEN 'test-path'
+  WHEN id IN ({quoted(verdicts.ENCODED_CONTENT)}) THEN 'encoded-content' WHEN id IN ({quoted(verdicts.INSTALL_SCRIPTS)}) THEN 'install-scripts' ELSE id END"""
+
+
+@query("scan", f"""{EXPECTED}, r AS (SELECT repo_id FROM d UNION SELECT CAST(c_custkey AS INT) FROM customer),
+  c AS (SELECT repo_id, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(DISTINCT {_KEY}) AS low_signals FROM f GROUP BY repo_id),
+  v AS (SELECT r.repo_id, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low_signals, 0) AS low_signals FROM r LEFT JOIN c ON r.repo_id = c.repo_id)
+  SELECT *, CASE WHEN high >= 1 THEN 'red' WHEN medium >= 1 OR low_signals >= 3 THEN 'yellow' ELSE 'green' END AS verdict, CASE WHEN high >= 1 THEN 2 WHEN medium >= 1 OR low_signals >= 3 THEN 1 ELSE 0 END AS exit_code FROM v""")
 def scan(spark, d):
     return scanned(spark, d).verdicts
 
 
-@query("scan_findings")
+@query("scan_findings", f"{EXPECTED} SELECT repo_id, id, severity, file FROM f")
 def scan_findings(spark, d):
-    return scanned(spark, d).findings.select("repo_id", "id", "severity", "file", F.col("line").cast("long").alias("line"))
+    return scanned(spark, d).findings.select("repo_id", "id", "severity", "file")
 
 
 def _reported(spark, d) -> tuple[DataFrame, DataFrame]:

@@ -48,7 +48,9 @@ def _shaped(*families: DataFrame) -> DataFrame:
 def selected(files: DataFrame, tree: DataFrame) -> DataFrame:
     """Files to read first: repo_id, path, content (cut to the cap of a file), position; within the budget of a repository."""
     chosen = selection.selected_files(tree.groupBy("repo_id", "path").agg(F.max("size").alias("size"))).select("repo_id", "path", "position")
-    rows = files.join(chosen, ["repo_id", "path"]).withColumn("content", F.substring("content", F.lit(1), F.lit(selection.MAX_FILE_CHARS)))
+    # Searching costs far more than its bytes tell: as many partitions as are set, whatever little they hold.
+    dealt = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "repo_id", "path")
+    rows = dealt.join(chosen, ["repo_id", "path"]).withColumn("content", F.substring("content", F.lit(1), F.lit(selection.MAX_FILE_CHARS)))
     lengths = selection.within_budget(rows.select("repo_id", "path", "position", F.length("content").alias("length")))
     return rows.join(lengths.select("repo_id", "path"), ["repo_id", "path"], "left_semi").select("repo_id", "path", "content", "position")
 
