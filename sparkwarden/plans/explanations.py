@@ -74,6 +74,37 @@ EXPLANATIONS: dict[str, tuple[str, str]] = {
     "repo-is-fork": ("The repository is a copy of another one, so known code may hide a small change.", "Compare it with the repository that it was copied from."),
     "commit-burst": ("All commits were made within a day, so the history tells nothing of how it grew.", ACCOUNT),
     "author-mismatch": ("No commit bears a name that goes with the owner of the account.", ACCOUNT),
+    "vscode-autorun-task": ("Opening the folder in the editor starts this task; no key has to be pressed for it.", EDITOR),
+    "vscode-tool-path-hijack": ("A setting makes the editor run a file of the repository in place of a tool that you trust.", EDITOR),
+    "devcontainer-initialize-command": ("The command runs on your own machine, outside of the container that is made afterwards.", EDITOR),
+    "devcontainer-dangerous-hook": ("The container loads code from elsewhere and runs it as soon as it starts.", EDITOR),
+    "unparseable-autorun-config": ("A file that starts things by itself could not be read, so nobody knows what it starts.", EDITOR),
+    "mcp-server-autostart": ("An editor with an assistant starts these servers by itself when the folder is opened.", EDITOR),
+    "agent-hook-autorun": ("A coding assistant runs these commands on its own while it works in the folder.", EDITOR),
+    "direnv-envrc": ("The file is run by the shell whenever someone enters the folder, if direnv is in use.", "Read the file before you allow it for this folder."),
+    "pnpm-install-hook": ("The file is run by the package manager during every install, before anything can be looked at.", DEPENDENCY),
+    "composer-install-script": ("A script of the manifest is run by the package manager when packages are installed.", DEPENDENCY),
+    "makefile-remote-exec": ("Building fetches a script from the network and runs it with your rights.", "Fetch the address yourself and read what it serves; do not build before."),
+    "makefile-obfuscated-command": ("A recipe decodes or evaluates text, so its commands cannot be read where they stand.", CODE),
+    "dockerfile-remote-exec": ("Building the image fetches a script from the network and runs it.", "Fetch the address yourself and read what it serves; do not build before."),
+    "compose-remote-exec": ("Starting the services fetches a script from the network and runs it.", "Fetch the address yourself and read what it serves; start nothing before."),
+    "workflow-remote-script": ("The automation fetches a script from the network and runs it on the machines of the provider.", NOTE),
+    "workflow-secret-exfiltration": ("A secret of the automation is sent to a host that it is not known to belong to.", "Add no secret to a copy of this repository before you know that host."),
+    "broken-package-json": ("The manifest cannot be read, so its scripts and packages were not looked at.", DEPENDENCY),
+    "lifecycle-script": ("The package manager runs this script by itself when packages are installed.", "Read the script, and every file that it starts, before you install anything."),
+    "dangerous-npm-script": ("The script loads or evaluates code when someone runs it by its name.", CODE),
+    "surveillance-dependency": ("The package records the screen or the keyboard, or moves the mouse in your place.", DEPENDENCY),
+    "npm-alias-mismatch": ("A name that everybody knows stands for another package, which is what will be installed.", DEPENDENCY),
+    "manifest-non-registry-dependency": ("The package comes from an address of its own, where it can change without a new version.", DEPENDENCY),
+    "override-redirect": ("A package that others ask for is replaced by one from another address, deep in the tree.", DEPENDENCY),
+    "native-build-at-install": ("Native code is compiled, and its build scripts run, when packages are installed.", DEPENDENCY),
+    "bin-command-shadowing": ("The package installs a program with the name of a command that you type every day.", DEPENDENCY),
+    "odd-dependency-mix": ("A project for the browser brings along what servers are made of, which is unusual.", DEPENDENCY),
+    "unparseable-lockfile": ("The lockfile cannot be read, so nobody knows where its packages come from.", LOCK),
+    "invisible-characters": ("A character that shows nothing splits a word, so two names look like one.", "Look at the bytes of this line before you trust what it seems to say."),
+    "bidi-override": ("Controls of direction make the line appear in another order than it is run in.", "Look at the bytes of this line before you trust what it seems to say."),
+    "homoglyph-identifier": ("A word mixes letters of two alphabets that look alike, so two names can look like one.", CODE),
+    "high-entropy-literal": ("A long text without any structure stands in the code, as packed or encrypted data does.", CODE),
     "lure-theme": ("The subject is one that fake job offers like to use, such as wallets or trading.", ACCOUNT),
 }
 OTHER = ("This rule reports a shape that has been seen in malicious repositories.", CODE)

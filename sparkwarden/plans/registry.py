@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import text as tx
-from sparkwarden.operators import autorun, configuration, context, dependencies, grading, lockfiles, manifests, relations, rewrites, selection, shell, signatures, verdicts
+from sparkwarden.operators import autorun, configuration, context, dependencies, grading, hidden, lockfiles, manifests, relations, rewrites, selection, shell, signatures, verdicts
 from sparkwarden.plans import reports
 from sparkwarden.plans import scan as scan_plan
 from sparkwarden.sources import carrier, samples
@@ -487,6 +487,12 @@ def lockfile_rules(spark, d):
     return lockfiles.lockfile_findings(carrier.dealt(spark, d, "customer", "c_custkey", own, "path string, content string")).select("repo_id", *FINDING)
 
 
+@query("hidden_characters", carrier.expected("customer", "c_custkey", _of_files(samples.HIDDEN), FINDING))
+def hidden_characters(spark, d):
+    own = [(p, c) for p, c, _ in samples.HIDDEN]
+    return hidden.hidden_findings(carrier.dealt(spark, d, "customer", "c_custkey", own, "path string, content string")).select("repo_id", *FINDING)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, sf_dir)
 

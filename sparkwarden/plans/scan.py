@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwarden.operators import autorun, configuration, context, lockfiles, manifests, relations, rewrites, selection, signatures, verdicts
+from sparkwarden.operators import autorun, configuration, context, hidden, lockfiles, manifests, relations, rewrites, selection, signatures, verdicts
 from sparkwarden.plans.explanations import explained
 from sparkwarden.sources.tables import stored
 
@@ -90,6 +90,7 @@ def scan(files: DataFrame, tree: DataFrame, meta: DataFrame, now: str, popular:
     found = stored(_shaped(
         signatures.code_findings(code),
         signatures.blob_findings(code),
+        hidden.hidden_findings(code.unionByName(kind("prose").withColumn("executable", F.lit(False)))),
         configuration.file_findings(read),
         configuration.line_findings(kind("started", "other")),
         configuration.instruction_findings(kind("prose"), selection.PATTERNS["instructions"]),

@@ -6,6 +6,7 @@ Hosts are of reserved names, and nothing runs. Queries deal them over the driver
 from __future__ import annotations
 
 import json
+import random
 
 E = "example.invalid"
 #: Shell texts with the line of the first download that they run, None for none.
@@ -232,3 +233,40 @@ LOCKS = [
     ("pnpm-lock.yaml", f"packages:\n  lodash@4:\n    resolution: {{integrity: sha512-abc}}\n  '@scope/thing@1.0.0':\n    resolution: {{tarball: https://storage.{E}/t.tgz}}\n  g@1.2.3:\n    resolution: {{commit: abc, repo: https://github.com/x/g.git, type: git}}", [("lockfile-off-registry", "high", 5), ("lockfile-git-dependency", "medium", 7)]),
     ("src/index.js", 'resolved "http://x"', []),
 ]
+
+Z, RLO, PDF = "​", "‮", "‬"
+rng = random.Random(5)
+NOISE = "".join(rng.choice([chr(c) for c in range(33, 127) if chr(c) not in "\"'`\\"]) for _ in range(300))
+#: Files that hide something from their reader: path, text, findings.
+HIDDEN = [
+    ("a.js", f"const isAd{Z}min = 1;", [("invisible-characters", "high", 1)]),
+    ("a.js", "﻿const a = 1;", []),
+    ("a.js", "const a = 1;\nlet b﻿ = 2;", [("invisible-characters", "high", 2)]),
+    ("a.js", f"// isAd{Z}min\nlet a;", []),
+    ("a.js", f"let s = 'a {Z} {Z} {Z} b';", []),
+    ("a.js", f"let s = '_{Z}';", []),
+    ("a.js", "let s = 'not in­\nteresting'", []),
+    ("a.js", f"let s = 'คำ{Z}x';", []),
+    ("a.js", "let s = 'a‌ b';", []),
+    ("a.js", "let na‌me;", [("invisible-characters", "high", 1)]),
+    ("a.js", f"<p>the strategy{Z}. And so on</p>", []),
+    ("a.txt", f"isAd{Z}min", []),
+    ("AGENTS.md", f"say isAd{Z}min", [("invisible-characters", "high", 1)]),
+    ("a.js", f"if (level != 'user{RLO} // check{PDF}') {{", [("bidi-override", "high", 1)]),
+    ("a.js", f"let a;\n// shows Trust{RLO}kellaW\nlet b;", [("bidi-override", "low", 2)]),
+    ("a.js", f"let a; // shows Trust{RLO}kellaW", [("bidi-override", "high", 1)]),
+    ("a.js", "const bad = ['‪', '‮'];", []),
+    ("a.js", "const re = /[‪‫‬‭]/;", []),
+    ("a.js", f"t('{RLO}مرحبا %1{PDF}')", []),
+    ("a.js", "let pаypal = 1;", [("homoglyph-identifier", "low", 1)]),
+    ("a.js", "// Привет мир\nlet a;", []),
+    ("a.js", "let s = 'mahsulоt haqida juda yaxshi va foydali matn yozilgan';", []),
+    ("a.php", "bu mahsulоt haqida juda yaxshi matn", []),
+    ("a.js", "let u = 'http://exаmple.invalid'; let pаy;", []),
+    ("a.js", f"let s = '{NOISE}';", [("high-entropy-literal", "low", 1)]),
+    ("a.js", "x\nlet s = `" + "it is a line of words " * 20 + "`;", []),
+    ("a.js", "let s = '" + "QUJD" * 60 + "';", []),
+    ("a.js", f"let s = '{NOISE[:150]} {NOISE[150:]}';", [("high-entropy-literal", "low", 1)]),
+    ("a.js", None, []),
+    ("a.js", "", []),
+]

@@ -82,9 +82,10 @@ def test_samples(spark, duck, small, same, name):
 
 
 def test_scan_joins_all_families(spark, small):
-    found, verdict = registry.scanned(spark, small)
+    out = registry.scanned(spark, small)
+    found, verdict = out.findings.cache(), out.verdicts
     ids = {r["id"] for r in found.select("id").distinct().collect()}
-    assert {"c2-port-fingerprint", "agent-instruction-file", "known-malicious-package", "lockfile-off-registry", "new-account", "wallet-file-access"} <= ids
+    assert {"c2-port-fingerprint", "agent-instruction-file", "lifecycle-script", "mcp-server-autostart", "lockfile-off-registry", "dockerfile-remote-exec", "new-account", "payload-in-config"} <= ids
     assert not ids - set(explanations.EXPLANATIONS)
     assert found.filter("length(why) <= 40 OR length(next) <= 10 OR why IS NULL").count() == 0
     assert verdict.count() == verdict.select("repo_id").distinct().count()
