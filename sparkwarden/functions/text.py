@@ -105,8 +105,8 @@ def outside_fences(content: Column) -> Column:
     return F.array_join(F.aggregate(F.split(content, "\n"), zero, step, lambda a: a["kept"]), "\n")
 
 
-# An escape of a JSON string that stands for a character which needs none.
-JSON_ESCAPE = r"(?:\\u(?!(?i:00[01][0-9a-f]|0022|005c))[0-9a-fA-F]{4})+"
+# An escape of a JSON string that stands for a character which needs none; halves of a pair only together.
+JSON_ESCAPE = r"(?:\\u(?!(?i:00[01][0-9a-f]|0022|005c|d[89a-f]))[0-9a-fA-F]{4}|\\u(?i:d[89ab][0-9a-f]{2})\\u(?i:d[c-f][0-9a-f]{2}))+"
 YAML_ESCAPE = r"\\x(?!(?i:[01][0-9a-f]|22|5c))[0-9a-fA-F]{2}"
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\z)'
 

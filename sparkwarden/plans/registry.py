@@ -168,7 +168,7 @@ def entropy_titles(spark, d):
 
 
 @query("blob_shapes", rf"""SELECT repo_id, file, unnest(list_filter([CASE WHEN n > 8000 AND n > 2000 * lines THEN 'single-line-blob' END, CASE WHEN n > 4000 AND 10 * encoded > 4 * n THEN 'encoded-blob-density' END], lambda x: x IS NOT NULL)) AS id
-  FROM (SELECT repo_id, path AS file, length(content) AS n, 1 + length(content) - length(replace(content, chr(10), '')) AS lines, coalesce(list_sum(list_transform(regexp_extract_all(content, '[A-Za-z0-9+/=]{{60,}}'), lambda x: length(x))), 0) AS encoded FROM {FILES} f)""")
+  FROM (SELECT repo_id, path AS file, strlen(content) AS n, 1 + length(content) - length(replace(content, chr(10), '')) AS lines, coalesce(list_sum(list_transform(regexp_extract_all(content, '[A-Za-z0-9+/=]{{100,}}|(?:[0-9a-fA-F]{{2}}){{50,}}'), lambda x: length(x))), 0) AS encoded FROM {FILES} f)""")
 def blob_shapes(spark, d):
     return signatures.blob_findings(files(spark, d)).select("repo_id", "file", "id")
 
@@ -392,13 +392,13 @@ def scanned(spark, d) -> scan_plan.Scan:
 # What the samples of a repository of the carrier must give, file by file, and what paths, programs and tools make of it.
 _N = len(carrier.SNIPPETS)
 _CYCLE = lambda path: f"repo_id % {len(carrier.WHOLE[path])}"
-EXPECTED = f"""WITH d AS (SELECT doc_id, CAST(doc_id // 24 AS INT) AS repo_id, doc_id % {_N} AS sample, coalesce(text, '') || chr(10) || 'x' AS body, {carrier.SCAN_COLUMNS["path"]} AS path FROM documents),
+EXPECTED = f"""WITH d AS (SELECT doc_id, CAST(doc_id // 24 AS INT) AS repo_id, doc_id % {_N} AS sample, coalesce(text, '') || chr(10) || 'x' AS body, {carrier.SCAN_COLUMNS["path"]} AS path, {carrier._case('doc_id', carrier.SNIPPETS)} AS snippet FROM documents),
   code AS (SELECT *, split_part(path, '.', -1) AS kind FROM d WHERE split_part(path, '.', -1) IN ('js', 'ts', 'py', 'sh', 'go', 'rb')),
   raw AS (
     SELECT repo_id, r.id, r.severity, path AS file FROM code JOIN {SAMPLE_RULES} ON code.sample = r.sample
       WHERE r.files = 'all' OR (r.files = 'interpreted' AND kind <> 'go') OR (r.files = 'hash comments' AND kind IN ('py', 'sh', 'rb')) OR (r.files = 'slash comments' AND kind IN ('js', 'ts', 'go'))
     UNION ALL SELECT repo_id, 'wallet-file-access', 'low', path FROM code WHERE sample IN (19, 26)
-    UNION ALL SELECT repo_id, 'single-line-blob', 'low', path FROM code WHERE length(body) > 8000 AND length(body) > 2000 * (1 + length(body) - length(replace(body, chr(10), '')))
+    UNION ALL SELECT repo_id, 'single-line-blob', 'low', path FROM code WHERE strlen(body) - 1 + strlen(snippet) > 8000 AND strlen(body) - 1 + strlen(snippet) > 2000 * (1 + length(body) - length(replace(body, chr(10), '')))
     UNION ALL SELECT repo_id, 'lifecycle-script', CASE {_CYCLE("package.json")} WHEN 1 THEN 'high' ELSE 'low' END, path FROM d WHERE path = 'package.json' AND {_CYCLE("package.json")} IN (1, 2)
     UNION ALL SELECT repo_id, 'odd-dependency-mix', 'medium', path FROM d WHERE path = 'package.json' AND {_CYCLE("package.json")} = 3
     UNION ALL SELECT repo_id, 'broken-package-json', 'low', path FROM d WHERE path = 'package.json' AND {_CYCLE("package.json")} = 4

@@ -15,7 +15,7 @@ def checked_out(spark: SparkSession, root: str) -> DataFrame:
     tail = F.regexp_replace(F.col("path"), r"^[a-z]+:/*", "/")
     base = "/" + root.split(":")[-1].strip("/") + "/"
     rel = F.substring(tail, F.lit(len(base) + 1), F.length(tail))
-    text = F.decode("content", "UTF-8")
+    text = F.make_valid_utf8(F.col("content").cast("string"))  # bytes that are no text become the replacement character
     cut = F.substring(text, F.lit(1), F.lit(MAX_FILE_CHARS))
     out = files.select(F.regexp_extract(rel, "^([^/]+)/", 1).alias("repo_id"), F.regexp_replace(rel, "^[^/]+/", "").alias("path"), F.col("length").alias("size"), F.when(~text.contains("\0"), cut).alias("content"))
     return out.filter(~F.col("path").rlike(r"(^|/)\.git/"))

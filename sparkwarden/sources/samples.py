@@ -101,6 +101,7 @@ STARTED = [
     (".mcp.json", '{"mcpServers": {"tools": {"command": "node", "args": ["./.mcp/tools.js"]}}}', [("mcp-server-autostart", "high", 1)]),
     (".mcp.json", '{\n// own\n"mcpServers": { "x": { "command": "node", "args": ["./.mcp/tools.js"], } },\n}', [("mcp-server-autostart", "high", 3)]),
     (".mcp.json", '{"\\u006dcpServers":{"x":{"\\u0063ommand":"node","args":["./.mcp/tools.js"]}}}', [("mcp-server-autostart", "high", 1)]),
+    (".mcp.json", '{"\\ud83d\\ude00": "\\ud83d x \\udc00", "\\u006dcpServers": {"x": {"command": "node", "args": ["./t.js"]}}}', [("mcp-server-autostart", "high", 1)]),
     (".mcp.json", "\n{ nothing", [("unparseable-autorun-config", "medium", 2)]),
     (".mcp.json", "[1]", [("unparseable-autorun-config", "medium", 1)]),
     (".vscode/mcp.json", '{"servers": {"docs": {"command": "docs-server", "env": {"NODE_OPTIONS": "--require ./hook.js"}}}}', [("mcp-server-autostart", "high", 1)]),

@@ -117,3 +117,35 @@ def test_selection_patterns(spark):
     for kind, paths in want.items():
         df = spark.createDataFrame([(p,) for p in paths + none], "path string")
         assert [r["path"] for r in df.filter(F.col("path").rlike(selection.PATTERNS[kind])).collect()] == paths
+
+
+def test_blobs(spark):
+    import base64
+    import random
+
+    rng = random.Random(3)
+    noise = base64.b64encode(bytes(rng.randrange(256) for _ in range(6000))).decode()
+    words = base64.b64encode("\n".join(f"word{k}" for k in range(900)).encode()).decode()
+    code = base64.b64encode("\n".join(f"exec({k});" for k in range(900)).encode()).decode()
+    png = base64.b64encode(b"\x89PNG\r\n" + bytes(rng.randrange(256) for _ in range(6000))).decode()
+    broken = '"\n + "'.join(noise[k : k + 70] for k in range(0, len(noise), 70))
+    files = [
+        ("noise", f'x = "{noise}";\n\n\n\n\n', {"encoded-blob-density"}),
+        ("split", f'x = "{broken}";', {"encoded-blob-density"}),
+        ("words", f'x = "{words}";\n\n\n\n\n', set()),
+        ("code", f'x = "{code}";\n\n\n\n\n\n\n', {"encoded-blob-density"}),
+        ("png", f'x = "{png}";\n\n\n\n\n', set()),
+        ("uri", f'x = "data:image/svg+xml;base64,{noise}";\n\n\n\n\n', set()),
+        ("script", f'x = "data:text/javascript;base64,{noise}";\n\n\n\n\n', {"encoded-blob-density"}),
+        ("bytecode", "x = 0x" + "60806040" * 1000 + ";\n\n\n\n\n", set()),
+        ("few", "x = '" + "ABAB" * 2000 + "';\n\n\n\n\n", set()),
+        ("line", "x + " * 2100, {"single-line-blob"}),
+        ("bytes", "é + " * 1700, {"single-line-blob"}),
+        ("short", noise[:3000], set()),
+        ("null", None, set()),
+    ]
+    rows = spark.createDataFrame([(k, n, c) for k, (n, c, _) in enumerate(files)], FILE)
+    got: dict[int, set] = {}
+    for r in signatures.blob_findings(rows).collect():
+        got.setdefault(r["repo_id"], set()).add(r["id"])
+    assert [(files[k][0], got.get(k, set())) for k in range(len(files)) if got.get(k, set()) != files[k][2]] == []
