@@ -30,6 +30,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Bytes of chunks and of their ids that a Python worker keeps, twice at most, and what an entry takes besides.
 MEMO_BYTES, ENTRY_BYTES = 48 << 20, 200
+#: The same where packing has the workers to itself: fewer chunks are encoded again.
+ALONE_BYTES = 96 << 20
 
 
 def byte_letters() -> list[str]:
@@ -48,9 +50,10 @@ class Encoder(dict):
     letters are one piece for the tokenizer and go straight to its model; other chunks take its whole course.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, memo_bytes: int = MEMO_BYTES):
         from tokenizers import Tokenizer
 
+        self.memo_bytes = memo_bytes
         self.tokenizer = Tokenizer.from_str(definition)
         self.letters = byte_letters()
         self.held = 0
@@ -76,11 +79,11 @@ class Encoder(dict):
 
     def _kept(self, chunk: bytes, ids: bytes) -> bytes:
         taken = len(chunk) + len(ids) + ENTRY_BYTES
-        if self.held + taken > MEMO_BYTES:
+        if self.held + taken > self.memo_bytes:
             self.older = dict(self)
             self.clear()
             self.held = 0
-        if taken <= MEMO_BYTES:
+        if taken <= self.memo_bytes:
             self[chunk] = ids
             self.held += taken
         return ids
@@ -92,18 +95,18 @@ class Encoder(dict):
 _encoders: dict[int, Encoder] = {}
 
 
-def _loaded(definition: str) -> Encoder:
-    key = hash(definition)
+def _loaded(definition: str, memo_bytes: int) -> Encoder:
+    key = hash((definition, memo_bytes))
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(definition)
+        _encoders[key] = Encoder(definition, memo_bytes)
     return _encoders[key]
 
 
-def _tokenized(definition, capacity: int, keep_ids: bool):
+def _tokenized(definition, capacity: int, keep_ids: bool, memo_bytes: int):
     @thrifty
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _loaded(definition.value)
+        encoder = _loaded(definition.value, memo_bytes)
         end = np.array([END_ID], "<u4").tobytes()
         for block in blocks(batches, "_text", 2 << 20):
             base = random.getrandbits(38) << 24
@@ -208,13 +211,13 @@ def _placed(sent):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = False, memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset), with the piece's ids as bytes if keep_ids."""
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:  # the driver's copy goes to the workers
         definition = spark.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    pieces = written(rows.mapInArrow(_tokenized(definition, capacity, keep_ids), "doc_id long, piece int, start long, length long, ids_crc32 long, at long, ids binary"), "pieces")
+    pieces = written(rows.mapInArrow(_tokenized(definition, capacity, keep_ids, memo_bytes), "doc_id long, piece int, start long, length long, ids_crc32 long, at long, ids binary"), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per length
     layout, _ = plan(counts, capacity)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
@@ -233,4 +236,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op10: places of all pieces of all documents."""
     import public_tokenizers
 
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), memo_bytes=ALONE_BYTES)
