@@ -159,3 +159,11 @@ def test_checked_out_folder(spark, tmp_path):
 def test_fences(spark):
     df = spark.createDataFrame([("a\n```\nb\n```\nc",)], "t string")
     assert df.select(tx.outside_fences(F.col("t"))).first()[0] == "a\nc"
+
+
+def test_entropy_of_keys_shuffles_texts_not_characters(spark):
+    rows = [(1, "aab"), (1, "b😀"), (2, "xxxx"), (3, None), (4, ""), (5, "abcd"), (5, None)]
+    df = signatures.entropy(spark.createDataFrame(rows, "k int, t string"), ["k"], "t")
+    got = {r["k"]: round(r["entropy"], 9) for r in df.collect()}
+    assert got == {1: round(2 * 0.4 * 1.3219280948873624 + 0.2 * 2.321928094887362, 9), 2: 0.0, 5: 2.0}
+    assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString()
