@@ -1,8 +1,9 @@
 """Manifests and lockfiles with the findings they must give, written down apart from the patterns."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from sparkwarden.operators import lockfiles, manifests
+from sparkwarden.operators import dependencies, lockfiles, manifests, shell
 from sparkwarden.sources.samples import LOCKS, MANIFESTS, E, lock, pkg
 
 KIND = "repo_id int, path string, content string"
@@ -57,3 +58,13 @@ def test_lockfile_against_manifest(spark):
     got = {(r["file"], r["name"], r["id"], r["severity"]) for r in lockfiles.lockfile_findings(spark.createDataFrame(files, KIND)).collect()}
     git = "lockfile-git-dependency"
     assert got == {("a/package-lock.json", "lodash", git, "medium"), ("a/package-lock.json", "lodash", "lockfile-manifest-mismatch", "high"), ("a/package-lock.json", "g", git, "medium"), ("a/package-lock.json", "kept", "lockfile-off-registry", "medium"), ("b/package-lock.json", "lodash", git, "medium")}
+
+
+def test_a_command_is_worked_out_once(spark):
+    rows = spark.createDataFrame([("npm ci",)], "command string").select(shell.dangerous_script(F.upper("command")).alias("x"))
+    assert rows._jdf.queryExecution().analyzed().toString().count("upper(") == 1
+
+
+def test_what_gives_names_is_read_once_for_the_names_and_once_for_the_rows(spark):
+    deps = spark.range(3).select(F.col("id").cast("int").alias("repo_id"), F.lit("package.json").alias("file"), F.concat(F.lit("loadas"), F.col("id").cast("string")).alias("name"))
+    assert dependencies.name_findings(deps)._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 2
