@@ -149,3 +149,10 @@ def test_blobs(spark):
     for r in signatures.blob_findings(rows).collect():
         got.setdefault(r["repo_id"], set()).add(r["id"])
     assert [(files[k][0], got.get(k, set())) for k in range(len(files)) if got.get(k, set()) != files[k][2]] == []
+
+
+def test_line_of_a_match_is_that_of_the_pattern_itself(spark):
+    """A dot of a pattern stops at the end of a line where its line is looked for, too; words are found amid other scripts."""
+    own = [signatures.Signature("own", "high", "(?i)one.two", holds=("one",))]
+    files = spark.createDataFrame([(1, "a.js", "ONE\ntwo\n😀漢字ONE-two"), (2, "a.js", "Ⅷ")], "repo_id int, path string, content string")
+    assert [(r["repo_id"], r["line"], r["snippet"]) for r in signatures.signature_findings(files, own).collect()] == [(1, 3, "ONE-two")]
