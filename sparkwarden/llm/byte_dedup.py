@@ -11,7 +11,8 @@ left are triggers with several different phrases, mostly where a repeated passag
 that start a string are ordered by key and, among equal ones, by the parse; all but the first start earlier, too.
 Removed are the bytes covered by strings that start earlier. Suffixes are ordered by a 64-bit key and not by their bytes,
 because only equal neighbours matter here. A task sends a phrase, trigger or string once at most, so a passage that a
-third of all documents share is no hot key.
+third of all documents share is no hot key. Whole texts are shuffled once, when phrases that occur again come to them; they
+stay in buckets of their document then, and only positions are shuffled to them.
 
 Defined cases: null text counts as empty; a text of fewer than `width` bytes loses nothing. Rows with a null id lose
 nothing and remove nothing. Rows that share an id count as one document if their texts are equal; otherwise the one whose
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 from . import packed
 from .arrays import _BASE_BYTES, U64, Block, blocks, mix, powers, span_hashes
-from .shared import IdFilter, partitions, thrifty, written
+from .shared import IdFilter, Tables, partitions, thrifty
 
 WIDTH, GRAM = 100, 40
 _SPAN = 1 << 19
@@ -240,16 +241,19 @@ def _finish(width: int, columns: list[str]):
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, keep: list[str] | None = None) -> DataFrame:
     """The rows with columns `keep` (default: all), n_bytes, n_removed, n_spans and kept_bytes (binary: cuts may fall within characters)."""
     n = partitions(docs.sparkSession)
+    tables = Tables(docs.sparkSession)
     new = ("n_bytes", "n_removed", "n_spans", "kept_bytes")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
     safe = {c: f"_c{i}" for i, c in enumerate(keep)}
     rows = docs.select(*(F.col(f"`{c}`").alias(a) for c, a in safe.items()), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     kind = packed.schema(["p", "n"], 2)
     counted = packed.dealt(rows.select("_id", "_text").mapInArrow(_parsed(width, gram, n), kind))
-    flags = written(packed.dealt(counted.mapInArrow(_decided(n), kind)).mapInArrow(_gathered(2, ["p", "n"], ["pos", "n"]), "doc_id long, tag long, pos binary, n binary"), "repeated_phrases")
+    flags = tables.written(packed.dealt(counted.mapInArrow(_decided(n), kind)).mapInArrow(_gathered(2, ["p", "n"], ["pos", "n"]), "doc_id long, tag long, pos binary, n binary"), "repeated_phrases")
     flags = flags.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("pos").alias("_pos"), F.col("n").alias("_n"))
     maybe = IdFilter(flags, "_id").mark(rows, "_id", "_maybe")
-    touched = written(maybe.filter("_maybe").withColumn("_tag", F.crc32(F.coalesce("_text", F.lit("")).cast("binary"))).join(flags, ["_id", "_tag"], "left"), "touched_texts")
+    tables.release()
+    touched = tables.bucketed(maybe.filter("_maybe").withColumn("_tag", F.crc32(F.coalesce("_text", F.lit("")).cast("binary"))).join(flags, ["_id", "_tag"], "left"), "touched_texts", "_id", "_tag")
+    tables.release()
     asked = touched.filter("_pos IS NOT NULL").select("_id", "_tag", "_text", "_pos", "_n").dropDuplicates(["_id", "_tag"])
     kind = packed.schema(["p"], 1)
     late = packed.dealt(asked.mapInArrow(_strings(width, n), kind)).mapInArrow(_ordered(n), kind)

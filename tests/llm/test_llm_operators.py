@@ -407,6 +407,16 @@ def test_lm_scores_use_every_pair(spark, docs, rows, monkeypatch, frequent):
     assert len(got) == len(rows) and max(off) < 0.1 and sum(off) / len(off) < 0.02
 
 
+def test_byte_dedup_shuffles_only_positions_to_the_texts_it_stored(spark, docs):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = spark._jvm.PythonSQLUtils.explainString(byte_dedup.remove_repeated_bytes(docs, keep=["doc_id"])._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = re.findall(r"^\(\d+\) Exchange\nInput \[\d+\]: (.*)", plan, re.M)
+    assert moved and not [x for x in moved if "_text#" in x]
+
+
 @pytest.mark.parametrize("parts", [1, 4])
 def test_byte_dedup_keeps_the_first_holder_of_a_repeated_row(spark, parts):
     rng = random.Random(parts)
