@@ -12,36 +12,44 @@ to all workers; the other words of each document meet their counts in their part
 Size of the filter: it grows with the n-grams, BITS bits for each level of each. Its slices of words are broadcast. Those
 of pairs, far more, stay in the shared folder: the distinct pairs of each text are sent to the partition of their slice,
 with the levels of their words, and the sum of their logarithms comes back. Pairs as frequent as FREQUENT words are sent to
-all workers with their counts instead, so that none fills a partition.
+all workers with their counts instead, so that none fills a partition. A block of texts sends one row to each partition, in
+which a text is the step to its place in the block; with more partitions a text meets more of them, and its id in each would
+outweigh the pairs. What is known of the block's texts waits where the answers come together.
 
 Defined cases: null text is empty: its end is its only token. A null id counts as empty text in the split, so such rows
-are held out. Rows that share an id are scored each on its own. Without training tokens no token is known.
+are held out. Rows that share an id are scored each on its own. Without training tokens no token is known. A task that is run
+again must read the same rows in the same order, as files give them; otherwise the query fails.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
 from .arrays import LOWER, SPACED, U64, Block, blocks, find_words, mix, span_hashes
-from .shared import partitions, written
+from .shared import Tables, partitions, thrifty
 
 PAIR = 0.2
 FREQUENT = 1 << 18
 BITS, PROBES = 10, 7
 LOW = U64((1 << 56) - 1)
 _END, _START = U64(0x1BADB002CAFEF00D), U64(0x0DDBA11C0FFEE123)
-NO_ID = -(1 << 63)
 _WORD, _PAIR = 0, 1
-#: Kinds of packed rows besides packed.py's 0 and 1: totals of words, pairs of texts, filter slices of pairs, sums of texts.
-_TOTALS, _ASKED_PAIRS, _SLICE, _SUMS = 2, 3, 4, 5
+#: Kinds of packed rows besides packed.py's 0 and 1: totals of words, pairs of texts, filter slices of pairs, sums of texts, a block's texts.
+_TOTALS, _ASKED_PAIRS, _SLICE, _SUMS, _TEXTS = 2, 3, 4, 5, 6
+#: Numbers of an entry that is asked or answered: the text's place in its block, and two that depend on the kind.
+_NUMBERS = ["t", "c", "k"]
+#: What a block knows of a text: known of its id, and of its frequent words and pairs.
+_TEXT = np.dtype([("id", "<i8"), ("known", "?"), ("held_out", "?"), ("n_tokens", "<i8"), ("n_known", "<i8"), ("base", "<f8"), ("logs", "<f8")])
 #: In one number: the level of a pair's first word, times this, and the level of its second.
 _LEVELS = 128
 
@@ -214,24 +222,6 @@ def _logs(before: np.ndarray, word: np.ndarray, both: np.ndarray, total: float)
     return np.log10(PAIR * share + (1 - PAIR) * (value(word) + 0.1) / total)
 
 
-def _scored(sent, total: float):
-    """Tokens and the exact base score of the frequent words."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, frequent, _ = sent.value
-        for block in blocks(batches, "_text"):
-            ids, known = block.ints("_id")
-            h, _, text = tokens(block)
-            n_tokens = np.bincount(text, minlength=len(block))
-            exact = frequent.of(h)
-            base = np.where(exact > 0, np.log10((exact + 0.1) / total), 0.0)
-            s = lambda x: np.bincount(text, weights=x, minlength=len(block))
-            cols = [pa.array(np.where(known, ids, NO_ID)), pa.array(block.tags().astype(np.int64)), pa.array(ids, mask=~known), pa.array(held_out(ids, known)), pa.array(n_tokens), pa.array(s(exact > 0).astype(np.int64)), pa.array(s(base))]
-            yield pa.RecordBatch.from_arrays(cols, ["_key", "_tag", "doc_id", "held_out", "n_tokens", "f_known", "f_base"])
-
-    return run
-
-
 def _distinct(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each hash of each text is first, by text and hash; and how often the text has it."""
     order = np.argsort(h)
@@ -241,25 +231,39 @@ def _distinct(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[first], np.diff(np.append(first, len(h)))
 
 
-def _text_sums(n: int, ids: np.ndarray, tags: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Sums of texts, dealt by their text; a float travels as two numbers."""
-    halves = sums.astype("<f8").view(np.uint32).reshape(-1, 2)
-    yield from packed.pack(_SUMS, packed.bucket_of(mix(ids.view(U64) ^ tags.astype(U64)), n), np.arange(len(ids)), ids, tags, [], {"c": halves[:, 1], "k": halves[:, 0]}, 1)
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where an entry differs from the one before it in any column."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.any([x[1:] != x[:-1] for x in columns], axis=0)
+    return out
 
 
-def _floats(e: packed.Entries) -> np.ndarray:
-    return np.ascontiguousarray(np.stack([e.numbers["k"], e.numbers["c"]], axis=1).astype(np.uint32)).view("<f8").ravel()
+def _name(block: Block, ids: np.ndarray, part: int, number: int) -> np.ndarray:
+    """One number for a block: its upper half deals blocks evenly (packed.bucket_of), its lower half depends on what is in it."""
+    place = int((part * 0.6180339887498949 + number * 0.4142135623730951) % 1 * (1 << 32))
+    held = hashlib.blake2b(f"{part} {number}".encode(), digest_size=4)
+    for x in (ids, block.offs, block.data):
+        held.update(np.ascontiguousarray(x))
+    return np.array([place << 32 | int.from_bytes(held.digest(), "little")], U64).view(np.int64)
+
+
+def _one_row(bucket: int, kind: int, ids: bytes, tags: bytes, held: bytes) -> pa.RecordBatch:
+    planes = [f"{c}{k}" for c in _NUMBERS for k in range(4)]
+    values = [ids, tags, b"", held] + [b""] * len(planes)
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), *(pa.array([x], pa.binary()) for x in values)], ["bucket", "kind", "ids", "tags", "counts", "h0", *planes])
 
 
 def _asked(sent, n: int, total: float):
-    """Words and pairs of each text that are not frequent; and sums over its frequent pairs."""
+    """Words and pairs of each text that are not frequent; and what is known of the texts themselves."""
 
+    @thrifty
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, frequent, often = sent.value
         start = model.levels(np.array([_START], U64), _WORD)[0]
-        for block in blocks(batches, "_text"):
+        part = TaskContext.get().partitionId()
+        for number, block in enumerate(blocks(batches, "_text")):
             ids, known = block.ints("_id")
-            ids, tags = np.where(known, ids, NO_ID), block.tags()
+            own = _name(block, ids, part, number), np.zeros(1, np.uint32)
             h, pair, text = tokens(block)
             word, at = np.unique(h, return_inverse=True)
             lev = model.levels(word, _WORD)[at]
@@ -267,71 +271,101 @@ def _asked(sent, n: int, total: float):
             before[np.concatenate([[True], text[1:] != text[:-1]])] = start
             count = often.of(pair)
             here = count > 0
-            logs = np.bincount(text[here], weights=_logs(before[here], lev[here], level(count[here]), total), minlength=len(block))
-            yield from _text_sums(n, ids, tags, logs)
+            exact = frequent.of(word)[at]
+            s = lambda x, t=text: np.bincount(t, weights=x, minlength=len(block))  # noqa: B023, E731
+            texts = np.zeros(len(block), _TEXT)
+            texts["id"], texts["known"], texts["held_out"] = ids, known, held_out(ids, known)
+            texts["n_tokens"], texts["n_known"] = np.bincount(text, minlength=len(block)), s(exact > 0)
+            texts["base"] = s(np.where(exact > 0, np.log10((exact + 0.1) / total), 0.0))
+            texts["logs"] = s(_logs(before[here], lev[here], level(count[here]), total), text[here])
             away = np.flatnonzero(~here)
             first, times = _distinct(pair[away], text[away])
             first = away[first]
-            yield from packed.pack(_ASKED_PAIRS, packed.bucket_of(pair[first], n), text[first], ids, tags, [pair[first]], {"c": times, "k": before[first] * _LEVELS + lev[first]})
-            rare = np.flatnonzero(frequent.of(word)[at] == 0)
+            bucket = packed.bucket_of(pair[first], n)
+            yield _one_row(int(packed.bucket_of(own[0].view(U64), n)[0]), _TEXTS, own[0].tobytes(), np.uint32(len(np.unique(bucket))).tobytes(), texts.tobytes())
+            yield from packed.pack(_ASKED_PAIRS, bucket, np.zeros(len(first), np.int64), *own, [pair[first]], {"t": text[first], "c": times, "k": before[first] * _LEVELS + lev[first]})
+            rare = np.flatnonzero(exact == 0)
             first, times = _distinct(h[rare], text[rare])
             first = rare[first]
-            yield from packed.pack(0, packed.bucket_of(h[first], n), text[first], ids, tags, [h[first]], {"c": times, "k": np.zeros(len(first))})
-            # How many rows share the id and text: their words are counted together.
-            yield from packed.replies(n, ids, tags, {"c": np.full(len(ids), 0), "k": np.ones(len(ids))})
+            yield from packed.pack(0, packed.bucket_of(h[first], n), np.zeros(len(first), np.int64), *own, [h[first]], {"t": text[first], "c": times, "k": np.zeros(len(first))})
 
     return run
 
 
 def _of_kind(batches: list[pa.RecordBatch], kind: int) -> list[pa.RecordBatch]:
-    return [b.filter(pc.equal(b.column("kind"), kind)) for b in batches]
+    return [x for b in batches if (x := b.filter(pc.equal(b.column("kind"), kind))).num_rows]
+
+
+def _replies(kind: int, n: int, e: packed.Entries, at: np.ndarray | slice, c: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Numbers c and k for the entries at these places, to where their blocks' texts wait."""
+    row = e.text[at]
+    yield from packed.pack(kind, packed.bucket_of(e.ids.view(U64), n)[row], row, e.ids, e.tags, [], {"t": e.numbers["t"][at], "c": c, "k": k}, 1)
+
+
+def _floats(e: packed.Entries) -> np.ndarray:
+    return np.ascontiguousarray(np.stack([e.numbers["k"], e.numbers["c"]], axis=1).astype(np.uint32)).view("<f8").ravel()
 
 
 def _answered(n: int, total: float):
-    """Replies: training count c of a word (0: unknown) and how often the text has it, k. Sums over pairs of texts."""
+    """Replies: training count c of a word (0: unknown) and how often the text has it, k. Sums over pairs of texts, a float as two numbers."""
 
+    @thrifty
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = list(batches)
-        sums = packed.unpack(_of_kind(batches, _SUMS), 1, ["c", "k"], more=_SUMS)[2]
-        yield from _text_sums(n, sums.ids, sums.tags, _floats(sums))
-        asked = packed.unpack(_of_kind(batches, _ASKED_PAIRS), 1, ["c", "k"], more=_ASKED_PAIRS)[2]
+        yield from _of_kind(batches, _TEXTS)
+        asked = packed.unpack(_of_kind(batches, _ASKED_PAIRS), 1, _NUMBERS, more=_ASKED_PAIRS)[2]
         slices = [x for b in _of_kind(batches, _SLICE) for x in b.column("h0").to_pylist()]
+        batches = [x for kind in (0, _TOTALS) for x in _of_kind(batches, kind)]
         key, at = np.unique(asked.hashes[0], return_inverse=True)
         both = LogFrequencyFilter(dict(enumerate(slices)), 1).levels(key, _PAIR)[at]
         logs = asked.numbers["c"] * _logs(asked.numbers["k"] // _LEVELS, asked.numbers["k"] % _LEVELS, both, total)
-        yield from _text_sums(n, asked.ids, asked.tags, np.bincount(asked.text, weights=logs, minlength=len(asked.ids)))
-        del asked, both, logs
-        batches = [b.filter(pc.less_equal(b.column("kind"), _TOTALS)) for b in batches]
-        e, rows, totals = packed.unpack(batches, 1, ["c", "k"], more=_TOTALS)
+        new = _heads(asked.text, asked.numbers["t"])
+        halves = np.bincount(np.cumsum(new) - 1, weights=logs).astype("<f8").view(np.uint32).reshape(-1, 2)
+        yield from _replies(_SUMS, n, asked, new, halves[:, 1], halves[:, 0])
+        del asked, both, logs, key, at, new
+        e, _, totals = packed.unpack(batches, 1, _NUMBERS, more=_TOTALS)
         order = np.argsort(totals.hashes[0]) if len(totals.ids) else np.empty(0, np.int64)
         key, count = (totals.hashes[0][order], totals.numbers["c"][order]) if len(order) else (np.empty(0, U64), order)
         c = np.zeros(len(e.text), np.int64)
         if len(key) and len(c):
             at = np.minimum(np.searchsorted(key, e.hashes[0]), len(key) - 1)
             c = np.where(key[at] == e.hashes[0], count[at], 0)
-        # c + 1, so that 0 marks the number of rows that have this id and text.
-        ids = np.concatenate([e.ids[e.text], rows.ids[rows.text]])
-        tags = np.concatenate([e.tags[e.text], rows.tags[rows.text]])
-        yield from packed.replies(n, ids, tags, {"c": np.concatenate([c + 1, rows.numbers["c"]]), "k": np.concatenate([e.numbers["c"], rows.numbers["k"]])})
+        yield from _replies(1, n, e, slice(None), c, e.numbers["c"])
 
     return run
 
 
 def _summed(total: float):
+    """The rows of texts, when all answers to their blocks are there."""
+
+    @thrifty
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, e, p = packed.unpack(batches, 1, ["c", "k"], more=_SUMS)
-        if not len(e.text):
+        batches = list(batches)
+        found = [r for b in _of_kind(batches, _TEXTS) for r in zip(*(b.column(c).to_pylist() for c in ("ids", "tags", "h0")), strict=True)]
+        _, e, p = packed.unpack([x for kind in (1, _SUMS) for x in _of_kind(batches, kind)], 1, _NUMBERS, more=_SUMS)
+        del batches
+        found = sorted((int.from_bytes(a, "little", signed=True), int.from_bytes(b, "little"), x) for a, b, x in found)
+        name, asked = (np.array([r[i] for r in found], np.int64) for i in (0, 1))
+        texts = np.frombuffer(b"".join(r[2] for r in found), _TEXT)
+        size = np.array([len(r[2]) // _TEXT.itemsize for r in found], np.int64)
+        first = np.cumsum(size) - size
+        of = lambda ids: np.minimum(np.searchsorted(name, ids), max(len(name) - 1, 0))
+        strange = any(len(x.ids) and (not len(name) or (name[of(x.ids)] != x.ids).any()) for x in (e, p))
+        if strange or (np.bincount(of(p.ids), minlength=len(name)) != asked).any():
+            raise RuntimeError("answers do not belong to these texts: a task that was run again read other rows, or in another order")
+        if not len(texts):
             return
-        ids, tags = np.concatenate([e.ids[e.text], p.ids]), np.concatenate([e.tags[e.text], p.tags])
-        no, none = np.full(len(p.ids), -1), np.zeros(len(e.text))
-        c, k, x = np.concatenate([e.numbers["c"], no]), np.concatenate([e.numbers["k"], no]), np.concatenate([none, _floats(p)])
-        order = np.lexsort((x, c, tags, ids))
-        ids, tags, c, k, x = ids[order], tags[order], c[order], k[order], x[order]
-        first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])]))
-        add = lambda x: np.add.reduceat(x, first)
-        rows = add(np.where(c == 0, k, 0))
-        known, base = add(np.where(c > 1, k, 0)), add(np.where(c > 0, k * np.log10((np.maximum(c, 1) - 1 + 0.1) / total), 0.0))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(tags[first].astype(np.int64)), pa.array(known // rows), pa.array(base / rows), pa.array(add(x) / rows)], ["_key", "_tag", "r_known", "r_base", "score"])
+
+        def add(found: packed.Entries, values: np.ndarray) -> np.ndarray:
+            at = first[of(found.ids)][found.text] + found.numbers["t"]
+            order = np.lexsort((values, at))  # the same sum in whatever order answers come
+            return np.bincount(at[order], weights=values[order], minlength=len(texts))
+
+        c, k = e.numbers["c"], e.numbers["k"]
+        n_known = texts["n_known"] + add(e, np.where(c > 0, k, 0)).astype(np.int64)
+        base = texts["base"] + add(e, k * np.log10((c + 0.1) / total))
+        cols = [pa.array(texts["id"], mask=~texts["known"]), pa.array(texts["held_out"]), pa.array(texts["n_tokens"]), pa.array(n_known), pa.array(base), pa.array(texts["logs"] + add(p, _floats(p)))]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -339,21 +373,20 @@ def _summed(total: float):
 def _as_packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word totals as packed entries, and the slice of pairs as one row, in their buckets."""
     for b in batches:
-        for bucket, keys, counts in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("bucket", "w_keys", "w_counts")), strict=True):
+        for bucket, keys, counts, bits in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("bucket", "w_keys", "w_counts", "p_bits")), strict=True):
             k = np.frombuffer(keys, U64)
-            yield from packed.pack(_TOTALS, np.full(len(k), bucket), np.zeros(len(k), np.int64), *_NOBODY, [k], {"c": np.frombuffer(counts, np.uint32), "k": np.zeros(len(k))})
-        nothing = pa.array([b""] * b.num_rows, pa.binary())
-        names = [f"{c}{k}" for c in "ck" for k in range(4)]
-        yield pa.RecordBatch.from_arrays([b.column("bucket"), pa.array(np.full(b.num_rows, _SLICE, np.int32)), *[nothing] * 3, b.column("p_bits"), *[nothing] * len(names)], ["bucket", "kind", "ids", "tags", "counts", "h0", *names])
+            none = np.zeros(len(k), np.int64)
+            yield from packed.pack(_TOTALS, np.full(len(k), bucket), none, *_NOBODY, [k], {"t": none, "c": np.frombuffer(counts, np.uint32), "k": none})
+            yield _one_row(bucket, _SLICE, b"", b"", bits)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     n = partitions(spark)
-    kind = packed.schema(["c", "k"], 1)
+    tables = Tables(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    totals = written(packed.dealt(rows.mapInArrow(_counted(n), kind)).mapInArrow(_totalled, COUNTS), "ngram_counts")
+    totals = tables.written(packed.dealt(rows.mapInArrow(_counted(n), packed.schema(["c", "k"], 1))).mapInArrow(_totalled, COUNTS), "ngram_counts")
     sums = totals.agg(F.sum("n_tokens").alias("n"), F.sum("n_distinct").alias("v")).first()
     n_train, v = sums["n"] or 0, sums["v"] or 0
     total = n_train + 0.1 * (v + 1)
@@ -362,11 +395,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     model = LogFrequencyFilter({r["bucket"]: bytes(r["w_bits"]) for r in slices}, n)
     del slices
     sent = spark.sparkContext.broadcast((model, *(Frequent([(r["bucket"], bytes(r["keys"]), bytes(r["counts"])) for r in x], n) for x in often)))
-    scored = rows.mapInArrow(_scored(sent, total), "_key long, _tag long, doc_id long, held_out boolean, n_tokens long, f_known long, f_base double")
+    tables.release()  # not sooner: what the last jobs still held would outlive it
+    kind = packed.schema(_NUMBERS, 1)
     asked = rows.mapInArrow(_asked(sent, n, total), kind).unionByName(totals.select("bucket", "w_keys", "w_counts", "p_bits").mapInArrow(_as_packed, kind))
-    rest = packed.dealt(packed.dealt(asked).mapInArrow(_answered(n, total), kind)).mapInArrow(_summed(total), "_key long, _tag long, r_known long, r_base double, score double")
-    out = scored.join(rest, ["_key", "_tag"])
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("f_known") + F.col("r_known")).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), (F.col("f_base") + F.col("r_base")).alias("base_score"), "score")
+    out = packed.dealt(packed.dealt(asked).mapInArrow(_answered(n, total), kind)).mapInArrow(_summed(total), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

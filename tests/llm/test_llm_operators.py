@@ -407,6 +407,17 @@ def test_lm_scores_use_every_pair(spark, docs, rows, monkeypatch, frequent):
     assert len(got) == len(rows) and max(off) < 0.1 and sum(off) / len(off) < 0.02
 
 
+def test_lm_scores_name_a_block_not_each_text_in_each_partition(spark, docs):
+    from types import SimpleNamespace
+
+    n = 64
+    model = lm_scoring.LogFrequencyFilter({}, n), lm_scoring.Frequent([], n), lm_scoring.Frequent([], n)
+    kind = lm_scoring.packed.schema(["t", "c", "k"], 1)
+    asked = docs.selectExpr("doc_id AS _id", "text AS _text").mapInArrow(lm_scoring._asked(SimpleNamespace(value=model), n, 1.0), kind)
+    r = asked.filter("kind = 3").selectExpr("sum(length(ids) + length(tags) + length(counts)) AS names", "sum(length(h0)) AS pairs").first()
+    assert 0 < r["names"] < r["pairs"] / 4
+
+
 def test_byte_dedup_shuffles_only_positions_to_the_texts_it_stored(spark, docs):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
